@@ -124,9 +124,9 @@ wins AS (
 seen AS (
   SELECT w.window_id, s.* FROM slab s JOIN wins w ON w.game_id=s.game_id AND w.attack_no=s.attack_no
   AND s.frame_idx>=w.start_frame AND s.frame_idx<w.end_frame),
-balls AS (SELECT game_id, attack_no, frame_idx, x AS bx, y AS by FROM slab WHERE is_ball),
+balls AS (SELECT game_id, attack_no, frame_idx, x AS ball_x, y AS ball_y FROM slab WHERE is_ball),
 moves AS (
-  SELECT s.*, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2) AS step, sqrt((x-bx)**2+(y-by)**2) AS ball
+  SELECT s.*, sqrt((x-lag(x) OVER w)**2+(y-lag(y) OVER w)**2) AS step, sqrt((x-ball_x)**2+(y-ball_y)**2) AS ball
   FROM seen s LEFT JOIN balls USING (game_id, attack_no, frame_idx)
   WINDOW w AS (PARTITION BY s.game_id, s.attack_no, s.window_id, s.entity_idx ORDER BY s.frame_idx)),
 stats AS (
@@ -264,7 +264,8 @@ def _sql() -> dict[str, str]:
         "attack_status_summary": big_status + "SELECT status, reason, count(*) AS n_attacks FROM status GROUP BY 1,2",
         "load_attack": scene
         + f"SELECT d.entity_idx, g.entity_id, d.frame_idx, d.frame, round(d.x, 6) AS x, round(d.y, 6) AS y FROM ({DENSE}) d "
-        "JOIN grid g USING (game_id, attack_no, entity_idx) WHERE game_id=3 AND attack_no=4",
+        "JOIN grid g USING (game_id, attack_no, entity_idx) WHERE (game_id, attack_no) IN "
+        "(SELECT (game_id, attack_no) FROM ranges ORDER BY md5('42|'||game_id||'|'||attack_no) LIMIT 1)",
         "list_attacks": base
         + "SELECT game_id, attack_no, printf('attack_%d_%04d', game_id, attack_no) AS stem FROM ranges ORDER BY stem LIMIT 100",
         "feather_source": scene
@@ -428,10 +429,10 @@ SELECT a.split, round(d, 6) AS loss_delta, round(c, 6) AS loss_infonce, round(d+
         "write_metrics_json": _metrics(),
         "save_projection": "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(8 AS BIGINT) AS width FROM embeddings",
         "attack_scene_summary": scene
-        + "SELECT r.game_id, r.attack_no, min_frame, max_frame, f.frame_count, g.entities, s.n_cells, s.avg_x, s.avg_y "
+        + "SELECT r.game_id, r.attack_no, min_frame, max_frame, f.frame_count, g.entities, s.n_cells, s.sum_x, s.sum_y "
         f"FROM ranges r JOIN (SELECT {ATT}, count(*) AS frame_count FROM frames GROUP BY 1,2) f USING ({ATT}) "
         f"JOIN (SELECT {ATT}, string_agg(coalesce(entity_id, 'None'), ',' ORDER BY entity_idx) AS entities FROM grid GROUP BY 1,2) g USING ({ATT}) "
-        f"LEFT JOIN (SELECT {ATT}, count(*) AS n_cells, round(avg(x), 6)+0.0e0 AS avg_x, round(avg(y), 6)+0.0e0 AS avg_y FROM slab GROUP BY 1,2) s USING ({ATT})",
+        f"LEFT JOIN (SELECT {ATT}, count(*) AS n_cells, round(sum(x), 6)+0.0e0 AS sum_x, round(sum(y), 6)+0.0e0 AS sum_y FROM slab GROUP BY 1,2) s USING ({ATT})",
     }
 
 

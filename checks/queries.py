@@ -118,7 +118,7 @@ def normalise_columns(spark, sf):
 @query
 def write_attacks(spark, sf):
     path = fresh_path(spark)
-    ST.write_attacks(scenes(spark, sf), path)
+    ST.write_attacks(scenes(spark, sf, stage="all"), path)
     tensor = ST.read_part(spark, path, "tensor")
     return tensor.select(*ATTACK, "entity_idx", "frame_idx", r6("x").alias("x"), r6("y").alias("y"))
 
@@ -136,8 +136,9 @@ def attack_status_summary(spark, sf):
 @query
 def load_attack(spark, sf):
     path = fresh_path(spark)
-    ST.write_attacks(scenes(spark, sf), path)
-    one = ST.load_attack(spark, path, GAME, ATTACK_NO)
+    ST.write_attacks(scenes(spark, sf, stage="all"), path)
+    key = R.sample_attack(ST.read_part(spark, path, "meta")).first()
+    one = ST.load_attack(spark, path, key["game_id"], key["attack_no"])
     ids = one.entities.select(F.col("entity_idx").cast("bigint").alias("entity_idx"), "entity_id")
     rows = one.tensor.join(ids, "entity_idx").join(one.frames, "frame_idx")
     return rows.select("entity_idx", "entity_id", "frame_idx", "frame", r6("x").alias("x"), r6("y").alias("y"))
@@ -152,7 +153,7 @@ def list_attacks(spark, sf):
 @query
 def feather_source(spark, sf):
     path = fresh_path(spark)
-    ST.write_attacks(scenes(spark, sf), path, "feather")
+    ST.write_attacks(scenes(spark, sf, stage="all"), path, "feather")
     meta = ST.read_part(spark, path, "meta", "feather")
     rows = meta.select(*ATTACK, F.posexplode("entities").alias("entity_idx", "entity_id"))
     tensor = ST.read_part(spark, path, "tensor", "feather")
@@ -793,7 +794,7 @@ def attack_scene_summary(spark, sf):
     """Flagship: every attack with its frames, entities and path, from ranges to the indexed slab in one plan."""
     found = scenes(spark, sf)
     sums = found.slab.groupBy(*ATTACK).agg(
-        F.count(F.lit(1)).alias("n_cells"), r6(F.avg("x")).alias("avg_x"), r6(F.avg("y")).alias("avg_y")
+        F.count(F.lit(1)).alias("n_cells"), r6(F.sum("x")).alias("sum_x"), r6(F.sum("y")).alias("sum_y")
     )
     meta = SL.attack_meta(found).drop("tensor_shape_0", "tensor_shape_1", "tensor_shape_2", "entities_count")
     return meta.withColumn("entities", F.array_join("entities", ",", "None")).join(sums, ATTACK, "left")

@@ -18,7 +18,8 @@ def casefold(c: Column | str) -> Column:
     """Case folding from upper and lower case: sharp s becomes ss, final sigma a plain one, dotless i stays."""
     c = F.col(c) if isinstance(c, str) else c
     kept = F.translate(c, "ı", "\ue000")
-    return F.translate(F.lower(F.upper(kept)), "ς\ue000", "σı")
+    # The inner translate also keeps Catalyst from reducing lower(upper(x)) to lower(x).
+    return F.translate(F.lower(F.translate(F.upper(kept), "\ue000", "ı")), "ς", "σ")
 
 
 def clean(c: Column | str) -> Column:
@@ -48,7 +49,7 @@ def parse_list_text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     body = F.regexp_extract(c, r"(?s)^\s*\[(.*)\]\s*\z", 1)
     item = r"""('[^']*'|"[^"]*"|[^,\s][^,]*)"""
-    parts = F.transform(F.regexp_extract_all(body, F.lit(item), 1), F.trim)
+    parts = F.transform(F.regexp_extract_all(body, F.lit(item), 1), lambda p: F.trim(p))
     plain = F.transform(
         parts, lambda p: F.when(p != "None", F.regexp_replace(p, r"""^['"](.*)['"]\z""", "$1"))
     )

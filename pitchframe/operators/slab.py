@@ -66,28 +66,33 @@ def build_scenes(
     incomplete: str = "pad",
     marker: str = SUBSTITUTION_MARKER,
     order: str = "rid",
-    stage: bool = True,
+    stage: str = "cells",
 ) -> Scenes:
     """Cut the tracking into attacks, choose and number the entities and the frames: one plan for all attacks.
 
     incomplete="pad" keeps attacks with fewer than 23 entities, "reject" leaves them out as the status shows.
-    The cells feed four readers, so they are written once to the shared folder; stage=False recomputes them instead.
+    The cells feed four readers, so they are written once to the shared folder. stage="all" does the same with the
+    chosen entities and the frames, for callers that read several parts; stage="none" recomputes everything.
     """
+    if stage not in ("none", "cells", "all"):
+        raise ValueError("stage must be 'none', 'cells' or 'all'")
     if incomplete not in ("pad", "reject"):
         raise ValueError("incomplete must be 'pad' or 'reject'")
     ranges = A.attack_ranges(play)
     found = cells(A.attack_slab(tracking.select("game_id", "frame", *ENTITY, "x", "y", order), ranges), order)
-    if stage:
+    if stage != "none":
         found = staged(found)
     known = found.filter(F.col("ha").isNotNull() & F.col("no").isNotNull())
     counts = known.groupBy(*ATTACK, *ENTITY).agg(F.sum("n_rows").alias("n_rows"))
     left = E.drop_substituted(counts, A.substitutions_in_attacks(play, ranges, marker))
     chosen = E.entity_index(E.select_entities(left, max_players))
+    frames = frame_index(found)
+    if stage == "all":
+        chosen, frames = staged(chosen), staged(frames)
     status = attack_status(ranges, found, chosen, incomplete)
     if incomplete == "reject":
         full = chosen.groupBy(*ATTACK).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == SLOTS)
         chosen = chosen.join(full, ATTACK, "left_semi")
-    frames = frame_index(found)
     slab = (
         known.join(chosen.select(*ATTACK, *ENTITY, "entity_idx", "is_ball"), [*ATTACK, *ENTITY])
         .join(frames, [*ATTACK, "frame"])
