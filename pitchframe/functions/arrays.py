@@ -21,9 +21,9 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalise(v: Column | str) -> Column:
-    """v / max(|v|, 1e-12); a zero vector stays zero."""
+    """v / max(|v|, 1e-12); a zero vector stays zero. The length is repeated beside v, so it is computed once."""
     length = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / length)
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x / n)
 
 
 def fit_width(v: Column | str, width: int = VECTOR_WIDTH) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +20,7 @@ from pitchframe.plans.ranking import position_by_sort
 
 RESTARTS = 10
 SEED = 42
+FITS_AT_ONCE = 4
 MAP_LABELS = 50
 
 
@@ -99,14 +102,19 @@ def silhouette(df: DataFrame, metric: str = "cosine", chunk_rows: int = CHUNK_RO
 
 
 def kmeans_labels(df: DataFrame, k: int | None = None, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """Add `cluster`: the best of `restarts` k-means fits by cost, k being the number of labels."""
+    """Add `cluster`: the best of `restarts` k-means fits by cost, k being the number of labels.
+
+    The restarts are independent jobs on the same cached rows and run a few at a time.
+    """
     k = k or df.select("label").distinct().count()
     data = df.withColumn("features", array_to_vector("vec"))
     if k < 2:
         return df.withColumn("cluster", F.lit(0))
     data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = [KMeans(k=k, seed=seed + i, predictionCol="cluster").fit(data) for i in range(restarts)]
+        runs = [KMeans(k=k, seed=seed + i, predictionCol="cluster") for i in range(restarts)]
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            fits = pool.map(inheritable_thread_target(df.sparkSession)(lambda run: run.fit(data)), runs)
         best = min(fits, key=lambda m: m.summary.trainingCost)
     finally:
         data.unpersist()

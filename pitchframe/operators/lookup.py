@@ -11,6 +11,8 @@ from pitchframe.functions.text import asked_name, asked_team, casefold, int_key,
 from pitchframe.plans.session import staged
 
 CUTOFF = 0.75
+# First search for similar names: cutoff and piece length.
+CLOSE, CLOSE_PIECE = 0.95, 3
 # Whole roster, as a scope beside the teams.
 EVERYONE = "*"
 
@@ -47,7 +49,8 @@ def missing_vectors(requests: DataFrame, vectors: DataFrame, id_col: str = "id")
 
 def supervision_with_vectors(supervision: DataFrame, vectors: DataFrame) -> DataFrame:
     """Supervision rows with their unit vector of the fixed width."""
-    return lookup_vector(supervision, vectors).withColumn("vec", l2_normalise(fit_width("vec")))
+    fitted = vectors.select("id", fit_width("vec").alias("vec"))
+    return lookup_vector(supervision, fitted.select("id", l2_normalise("vec").alias("vec")))
 
 
 def name_pool(roster: DataFrame) -> DataFrame:
@@ -142,13 +145,31 @@ def _contained(asks: DataFrame, roster: DataFrame) -> DataFrame:
     return total.filter(F.col("n") == 1).drop("n")
 
 
-def _tokens(text: Column) -> Column:
-    """Characters with their occurrence number, so that set overlap counts repeated characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(
-        chars,
-        lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda o: o == c)).cast("string")),
-    )
+def _with_tokens(df: DataFrame, text: str, q: int) -> DataFrame:
+    """Add `tokens`: distinct pieces of q characters; single characters get their occurrence number, so repeats count."""
+    last = F.length(text) - (q - 1)
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda i: F.col(text).substr(i, F.lit(q)))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("tokens", F.when(last >= 1, F.array_distinct(pieces) if q > 1 else pieces).otherwise(none))
+    if q > 1:
+        return df
+
+    def numbered(c: Column, i: Column) -> Column:
+        return F.concat(c, F.size(F.filter(F.slice("tokens", 1, i + 1), lambda o: o == c)).cast("string"))
+
+    return df.withColumn("tokens", F.transform("tokens", numbered))
+
+
+def _lost(n: Column, q: int, cutoff: float) -> Column:
+    """How many tokens of a text of `n` characters a partner at or above the cutoff may lack.
+
+    The ratio is 2m/(a+b) for m characters in matching blocks. Single characters: b >= a*c/(2-c), so at least that many
+    match. Longer pieces: at most D = 2a(1-c)/c characters of both texts are unmatched, blocks are D+1 at most, and
+    each unmatched character and each gap between blocks spoils no more than q pieces together.
+    """
+    if q == 1:
+        return (n - F.ceil(n * F.lit(cutoff / (2 - cutoff)) - 1e-9)).cast("int")
+    return (F.floor(n * F.lit(2 * (1 - cutoff) / cutoff) + 1e-9) * q).cast("int")
 
 
 def _rare_first(texts: DataFrame, keys: list[str], frequency: DataFrame) -> DataFrame:
@@ -162,16 +183,6 @@ def _rare_first(texts: DataFrame, keys: list[str], frequency: DataFrame) -> Data
     return placed.select(*keys, F.transform("t", lambda t: t["token"]).alias("toks"))
 
 
-def _prefix(toks: Column, cutoff: float) -> Column:
-    """Tokens one of which two texts must share if their ratio reaches the cutoff.
-
-    ratio = 2m/(a+b) >= c needs b >= a*c/(2-c), so at least ceil(a*c/(2-c)) common tokens.
-    """
-    n = F.size(toks)
-    need = F.ceil(n * F.lit(cutoff / (2 - cutoff)) - 1e-9)
-    return F.slice(toks, 1, F.greatest(n - need + 1, F.lit(1)).cast("int"))
-
-
 def _ratio_udf():
     @F.pandas_udf("double")
     def ratio(label, name):
@@ -191,25 +202,34 @@ def _ratio_udf():
     return ratio
 
 
-def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, q: int = 1) -> DataFrame:
     """Best label for each (scope, name): the highest difflib ratio at or above `cutoff`, then the last in text order.
 
-    Lossless prefix filter: pairs meet on one of their rarest tokens, are kept only at the first token they share, and
-    reach the ratio only if enough characters agree.
+    Lossless prefix filter: texts that reach the cutoff share one of their rarest tokens. Pairs meet on those only, are
+    kept only at the first token they share, and go to the ratio only if enough of all tokens agree.
     """
-    texts = labels.select("scope", "label").distinct().withColumn("tokens", _tokens(F.col("label")))
-    names = asks.select("scope", "name").distinct().withColumn("tokens", _tokens(F.col("name")))
+    texts = _with_tokens(labels.select("scope", "label").distinct(), "label", q)
+    names = _with_tokens(asks.select("scope", "name").distinct(), "name", q)
     frequency = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    a = _rare_first(texts, ["scope", "label"], frequency).withColumnRenamed("toks", "ta")
-    b = _rare_first(names, ["scope", "name"], frequency).withColumnRenamed("toks", "tb")
-    a = a.withColumn("pa", _prefix(F.col("ta"), cutoff)).withColumn("token", F.explode("pa"))
-    b = b.withColumn("pb", _prefix(F.col("tb"), cutoff)).withColumn("token", F.explode("pb"))
-    need = (F.size("ta") + F.size("tb")) * (cutoff / 2) - 1e-9
+
+    def side(texts: DataFrame, text: str, s: str) -> DataFrame:
+        ranked = _rare_first(texts, ["scope", text], frequency).withColumnRenamed("toks", f"t{s}")
+        ranked = ranked.withColumn(f"l{s}", _lost(F.length(text), q, cutoff))
+        ranked = ranked.withColumn(f"p{s}", F.slice(f"t{s}", 1, F.col(f"l{s}") + 1))
+        return ranked.withColumn("token", F.explode(f"p{s}"))
+
+    longer = F.greatest(F.length("label"), F.length("name"))
+    shorter = F.least(F.length("label"), F.length("name"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    enough = F.greatest(F.size("ta") - F.col("la"), F.size("tb") - F.col("lb"))
+    if q == 1:
+        enough = F.greatest(enough, F.ceil((longer + shorter) * F.lit(cutoff / 2) - 1e-9))
     pairs = (
-        a.join(b, ["scope", "token"])
-        .filter(F.least(F.size("ta"), F.size("tb")) >= need)
+        side(texts, "label", "a")
+        .join(side(names, "name", "b"), ["scope", "token"])
+        .filter(shorter * 2 >= (longer + shorter) * cutoff - 1e-9)
         .filter(F.array_intersect("pb", "pa")[0] == F.col("token"))
-        .filter(F.size(F.array_intersect("ta", "tb")) >= need)
+        .filter(common >= enough)
     )
     scored = pairs.select("scope", "name", "label", _ratio_udf()("label", "name").alias("score"))
     return (
@@ -220,14 +240,14 @@ def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -
     )
 
 
-def _fuzzy(asks: DataFrame, roster: DataFrame, cutoff: float) -> DataFrame:
+def _fuzzy(asks: DataFrame, roster: DataFrame, cutoff: float, q: int) -> DataFrame:
     """Asks with a similar label: the best label over all scopes, then its owner, names before aliases."""
     own = F.array(F.struct(F.col("name").alias("label"), F.lit(0).alias("kind")))
     also = F.transform("alts", lambda a: F.struct(a.alias("label"), F.lit(1).alias("kind")))
     labels = roster.select("id", "team_lc", F.explode(F.concat(own, also)).alias("l"))
     labels = labels.select("id", "l.label", "l.kind", _scopes().alias("scope"))
     labels = labels.join(asks.select("scope").distinct(), "scope", "left_semi")
-    best = similar_labels(asks, labels, cutoff)
+    best = similar_labels(asks, labels, cutoff, q)
     first = F.min(F.struct("kind", F.length("id"), "id")).alias("owner")
     owner = labels.groupBy("scope", "label").agg(first)
     hits = asks.join(best, ["scope", "name"]).join(owner, ["scope", "label"])
@@ -250,6 +270,11 @@ def resolve_player(questions: DataFrame, roster: DataFrame, fuzzy: bool = True,
     part = staged(_contained(rest, roster))
     solved = exact.withColumn("stage", F.lit(1)).unionByName(part.withColumn("stage", F.lit(2)))
     if fuzzy:
-        similar = _fuzzy(staged(rest.join(part, keys, "left_anti")), roster, cutoff)
-        solved = solved.unionByName(similar.withColumn("stage", F.lit(3)))
+        rest = staged(rest.join(part, keys, "left_anti"))
+        # Nearly equal names first: a match there is the best one, and few names need the wider search.
+        steps = [(CLOSE, CLOSE_PIECE)] if cutoff < CLOSE else []
+        for step, q in [*steps, (cutoff, 1)]:
+            similar = staged(_fuzzy(rest, roster, step, q))
+            solved = solved.unionByName(similar.withColumn("stage", F.lit(3)))
+            rest = staged(rest.join(similar, keys, "left_anti"))
     return _asked(questions).join(solved, keys, "left").drop(*keys)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchframe.functions.arrays import l2_normalise, norm
 from pitchframe.plans.blocks import CHUNK_ROWS, chunk_pairs
 from pitchframe.plans.ranking import hash_text
 from pitchframe.plans.session import staged
@@ -26,13 +27,8 @@ def _space(vec: Column, metric: str) -> Column:
     """
     if metric == "euclidean":
         return vec
-    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    scaled = F.transform(F.arrays_zip(vec.alias("x"), F.array_repeat(length, F.size(vec)).alias("n")), _unit)
-    return F.concat(scaled, F.array(F.when(length > 0, 0.0).otherwise(1.0)))
-
-
-def _unit(pair: Column) -> Column:
-    return F.when(pair["n"] > 0, pair["x"] / pair["n"]).otherwise(0.0)
+    zero = norm(vec) == 0
+    return F.concat(l2_normalise(vec), F.array(F.when(zero, 1.0).otherwise(0.0)))
 
 
 def _nearest_pivot(points: DataFrame, pivots: np.ndarray) -> DataFrame:
