@@ -65,7 +65,7 @@ def long_vec(df: DataFrame, *keys: str, vec: str = "vec") -> DataFrame:
 
 def scenes(spark: SparkSession, sf: str, **options) -> SL.Scenes:
     options = {"max_players": MAX_PLAYERS, **options}
-    return SL.build_scenes(S.tracking(spark, sf), S.play(spark, sf), S.players(spark, sf), **options)
+    return SL.Scenes(S.tracking(spark, sf), S.play(spark, sf), S.players(spark, sf), **options)
 
 
 def fresh_path(spark: SparkSession) -> str:
@@ -118,7 +118,7 @@ def normalise_columns(spark, sf):
 @query
 def write_attacks(spark, sf):
     path = fresh_path(spark)
-    ST.write_attacks(scenes(spark, sf, stage="all"), path)
+    ST.write_attacks(scenes(spark, sf), path)
     tensor = ST.read_part(spark, path, "tensor")
     return tensor.select(*ATTACK, "entity_idx", "frame_idx", r6("x").alias("x"), r6("y").alias("y"))
 
@@ -136,7 +136,7 @@ def attack_status_summary(spark, sf):
 @query
 def load_attack(spark, sf):
     path = fresh_path(spark)
-    ST.write_attacks(scenes(spark, sf, stage="all"), path)
+    ST.write_attacks(scenes(spark, sf), path)
     key = R.sample_attack(ST.read_part(spark, path, "meta")).first()
     one = ST.load_attack(spark, path, key["game_id"], key["attack_no"])
     ids = one.entities.select(F.col("entity_idx").cast("bigint").alias("entity_idx"), "entity_id")
@@ -153,7 +153,7 @@ def list_attacks(spark, sf):
 @query
 def feather_source(spark, sf):
     path = fresh_path(spark)
-    ST.write_attacks(scenes(spark, sf, stage="all"), path, "feather")
+    ST.write_attacks(scenes(spark, sf), path, "feather")
     meta = ST.read_part(spark, path, "meta", "feather")
     rows = meta.select(*ATTACK, F.posexplode("entities").alias("entity_idx", "entity_id"))
     tensor = ST.read_part(spark, path, "tensor", "feather")

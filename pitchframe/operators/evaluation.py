@@ -71,10 +71,9 @@ def _cosine_scores(df: DataFrame, chunk_rows: int) -> DataFrame:
         return out
 
     unit = df.select("id", F.col("label").cast("string").alias("label"), l2_normalise("vec").alias("vec"))
-    unit = unit.withColumn("_g", F.lit(0))
-    means = mean_vectors(unit, ["label"]).withColumn("_g", F.lit(0)).withColumn("id", F.col("label"))
+    means = mean_vectors(unit, ["label"]).withColumn("id", F.col("label"))
     schema = "id string, own double, own_n double, other double"
-    parts = chunk_pairs(unit, means, ["_g"], "id", nearest, schema, chunk_rows)
+    parts = chunk_pairs(unit, means, [], "id", nearest, schema, chunk_rows)
     null = F.lit(None).cast("double")
     merged = parts.groupBy("id").agg(
         *[f(F.nanvl(c, null)).alias(c) for f, c in ((F.max, "own"), (F.max, "own_n"), (F.min, "other"))]

@@ -144,9 +144,8 @@ def knn_pairs(
     lenders = members.withColumn("t", F.row_number().over(twins)).filter(F.col("t") <= k + 1)
     n_pivots = min(MAX_PIVOTS, df.count() // rows_per_pivot)
     if n_pivots < 2:
-        points = lenders.filter("t = 1").select("id", "v", F.lit(0).alias("cell"))
-        base = lenders.select("id", "label", "v", F.lit(0).alias("cell"))
-        located = points
+        points = located = lenders.filter("t = 1").select("id", "v")
+        base, cell = lenders.select("id", "label", "v"), []
     else:
         lenders = staged(lenders)
         points = lenders.filter("t = 1").select("id", "v")
@@ -154,11 +153,12 @@ def knn_pairs(
         pivots = np.array([r["v"] for r in chosen], dtype="float64")
         located = staged(_nearest_pivot(points, pivots))
         radius, limit = _reach(located, pivots, k)
+        cell = ["cell"]
         base = _send(lenders.select("id", "label", "v"), pivots, radius, limit)
     best = chunk_pairs(
-        located.select("id", "v", "cell"),
+        located.select("id", "v", *cell),
         base,
-        ["cell"],
+        cell,
         "id",
         _best_kernel(k + 1, metric),
         "id string, distance double, neighbour string, neighbour_label string",
@@ -213,7 +213,7 @@ def label_distances(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
             out.append(pd.DataFrame({"id": q["id"], "label": q["label"], "other": name, "total": total, "n": len(part)}))
         return pd.concat(out)
 
-    rows = df.select("id", F.col("label").cast("string").alias("label"), "vec", F.lit(0).alias("_g"))
+    rows = df.select("id", F.col("label").cast("string").alias("label"), "vec")
     schema = "id string, label string, other string, total double, n long"
-    partial = chunk_pairs(rows, rows, ["_g"], "id", sums, schema, chunk_rows)
+    partial = chunk_pairs(rows, rows, [], "id", sums, schema, chunk_rows)
     return partial.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,59 +46,84 @@ def frame_index(rows: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
 class Scenes:
-    """All attacks of a data set. Every part is a DataFrame."""
-
-    ranges: DataFrame  # attack -> min_frame, max_frame
-    entities: DataFrame  # attack, entity_idx -> ha, no, is_ball, n_rows, player_id, entity_id
-    frames: DataFrame  # attack, frame -> frame_idx, frame_count
-    slab: DataFrame  # attack, entity_idx, is_ball, frame_idx, frame_count, x, y; observed cells only
-    status: DataFrame  # attack -> status, reason
-
-
-def build_scenes(
-    tracking: DataFrame,
-    play: DataFrame,
-    players: DataFrame,
-    *,
-    max_players: int = MAX_PLAYERS,
-    incomplete: str = "pad",
-    marker: str = SUBSTITUTION_MARKER,
-    order: str = "rid",
-    stage: str = "cells",
-) -> Scenes:
-    """Cut the tracking into attacks, choose and number the entities and the frames: one plan for all attacks.
+    """All attacks of a data set: who was where, frame by frame. Every part is a DataFrame, made when first asked for.
 
     incomplete="pad" keeps attacks with fewer than 23 entities, "reject" leaves them out as the status shows.
-    The cells feed four readers, so they are written once to the shared folder. stage="all" does the same with the
-    chosen entities and the frames, for callers that read several parts; stage="none" recomputes everything.
+    Cells, chosen entities and frames each feed several readers, so they are written once to the shared folder;
+    stage=False recomputes them instead.
     """
-    if stage not in ("none", "cells", "all"):
-        raise ValueError("stage must be 'none', 'cells' or 'all'")
-    if incomplete not in ("pad", "reject"):
-        raise ValueError("incomplete must be 'pad' or 'reject'")
-    ranges = A.attack_ranges(play)
-    found = cells(A.attack_slab(tracking.select("game_id", "frame", *ENTITY, "x", "y", order), ranges), order)
-    if stage != "none":
-        found = staged(found)
-    known = found.filter(F.col("ha").isNotNull() & F.col("no").isNotNull())
-    counts = known.groupBy(*ATTACK, *ENTITY).agg(F.sum("n_rows").alias("n_rows"))
-    left = E.drop_substituted(counts, A.substitutions_in_attacks(play, ranges, marker))
-    chosen = E.entity_index(E.select_entities(left, max_players))
-    frames = frame_index(found)
-    if stage == "all":
-        chosen, frames = staged(chosen), staged(frames)
-    status = attack_status(ranges, found, chosen, incomplete)
-    if incomplete == "reject":
-        full = chosen.groupBy(*ATTACK).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == SLOTS)
-        chosen = chosen.join(full, ATTACK, "left_semi")
-    slab = (
-        known.join(chosen.select(*ATTACK, *ENTITY, "entity_idx", "is_ball"), [*ATTACK, *ENTITY])
-        .join(frames, [*ATTACK, "frame"])
-        .select(*ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y")
-    )
-    return Scenes(ranges, E.entity_ids(chosen, E.player_map(players, order)), frames, slab, status)
+
+    def __init__(
+        self,
+        tracking: DataFrame,
+        play: DataFrame,
+        players: DataFrame,
+        *,
+        max_players: int = MAX_PLAYERS,
+        incomplete: str = "pad",
+        marker: str = SUBSTITUTION_MARKER,
+        order: str = "rid",
+        stage: bool = True,
+    ):
+        if incomplete not in ("pad", "reject"):
+            raise ValueError("incomplete must be 'pad' or 'reject'")
+        self._tracking = tracking.select("game_id", "frame", *ENTITY, "x", "y", order)
+        self._play, self._players = play, players
+        self._max_players, self._incomplete, self._marker, self._order = max_players, incomplete, marker, order
+        self._keep = staged if stage else lambda df: df
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        """attack -> min_frame, max_frame"""
+        return A.attack_ranges(self._play)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """attack, frame, ha, no -> x, y, n_rows"""
+        return self._keep(cells(A.attack_slab(self._tracking, self.ranges), self._order))
+
+    @property
+    def _known(self) -> DataFrame:
+        return self.cells.filter(F.col("ha").isNotNull() & F.col("no").isNotNull())
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """attack, entity_idx -> ha, no, is_ball, n_rows, of every attack"""
+        counts = self._known.groupBy(*ATTACK, *ENTITY).agg(F.sum("n_rows").alias("n_rows"))
+        left = E.drop_substituted(counts, A.substitutions_in_attacks(self._play, self.ranges, self._marker))
+        return self._keep(E.entity_index(E.select_entities(left, self._max_players)))
+
+    @property
+    def _usable(self) -> DataFrame:
+        if self._incomplete == "pad":
+            return self.chosen
+        full = self.chosen.groupBy(*ATTACK).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == SLOTS)
+        return self.chosen.join(full, ATTACK, "left_semi")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        """attack, entity_idx -> ha, no, is_ball, n_rows, player_id, entity_id"""
+        return E.entity_ids(self._usable, E.player_map(self._players, self._order))
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        """attack, frame -> frame_idx, frame_count"""
+        return self._keep(frame_index(self.cells))
+
+    @cached_property
+    def slab(self) -> DataFrame:
+        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y; observed cells only"""
+        return (
+            self._known.join(self._usable.select(*ATTACK, *ENTITY, "entity_idx", "is_ball"), [*ATTACK, *ENTITY])
+            .join(self.frames, [*ATTACK, "frame"])
+            .select(*ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y")
+        )
+
+    @cached_property
+    def status(self) -> DataFrame:
+        """attack -> status, reason"""
+        return attack_status(self.ranges, self.cells, self.chosen, self._incomplete)
 
 
 def attack_status(ranges: DataFrame, found: DataFrame, chosen: DataFrame, incomplete: str = "pad") -> DataFrame:

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 2048
 
 
-def _chunked(df: DataFrame, keys: list[str], row_key: str, sizes: DataFrame, mine: str, other: str, out: str, rep: str):
-    cut = (
-        df.join(sizes, keys)
-        .withColumn(mine, F.pmod(F.xxhash64(row_key), F.col(out)))
-        .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(rep) - 1)))
-        .drop(out, rep)
+def _chunks(df: DataFrame, rows: int) -> Column:
+    return df.agg(F.ceil(F.count(F.lit(1)) / rows)).scalar()
+
+
+def _cut(df: DataFrame, row_key: str, mine: str, other: str, n_mine: Column, n_other: Column) -> DataFrame:
+    """Give each row its own chunk, and a copy of it to each chunk of the other side."""
+    cut = df.withColumn(mine, F.pmod(F.xxhash64(row_key), n_mine)).withColumn(
+        other, F.explode(F.sequence(F.lit(0).cast("bigint"), n_other - 1))
     )
     # Columns of its own, as both sides may come from one table.
-    return cut.select(*[F.col(c).alias(c) for c in cut.columns])
+    return cut.select(*[F.col(c).alias(c) for c in cut.columns if c not in ("_nq", "_nb")])
 
 
 def chunk_pairs(
@@ -34,12 +36,18 @@ def chunk_pairs(
 
     A group is cut into chunks of about `rows` rows on both sides, so a task holds two chunks however large the group
     is, and every chunk pair is one unit of work that any executor can take. The kernel gives back a few rows for
-    each query row (its best matches, a partial sum), never the pairs. `row_key` must identify a row.
+    each query row (its best matches, a partial sum), never the pairs. `row_key` must identify a row; without `keys` all
+    rows are one group.
     """
-    qn = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_nq"))
-    bn = base.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_nb"))
-    sizes = qn.join(bn, keys)
-    q = _chunked(queries, keys, row_key, sizes, "_qc", "_bc", "_nq", "_nb")
-    b = _chunked(base, keys, row_key, sizes, "_bc", "_qc", "_nb", "_nq")
+    if keys:
+        qn = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_nq"))
+        bn = base.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_nb"))
+        sizes = qn.join(bn, keys)
+        queries, base = queries.join(sizes, keys), base.join(sizes, keys)
+    else:
+        nq, nb = _chunks(queries, rows), _chunks(base, rows)
+        queries, base = (df.withColumns({"_nq": nq, "_nb": nb}).filter((F.col("_nq") > 0) & (F.col("_nb") > 0)) for df in (queries, base))
+    q = _cut(queries, row_key, "_qc", "_bc", F.col("_nq"), F.col("_nb"))
+    b = _cut(base, row_key, "_bc", "_qc", F.col("_nb"), F.col("_nq"))
     on = [*keys, "_qc", "_bc"]
     return q.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(kernel, schema)

@@ -66,7 +66,7 @@ def test_interval_over_many_cells(spark):
 
 def scenes(spark, **options):
     change = [(7, 1, 0, 105, 1, 10, 1, "c", "選手交代")]
-    return SL.build_scenes(tracking(spark), play(spark, change), players(spark), **options)
+    return SL.Scenes(tracking(spark), play(spark, change), players(spark), **options)
 
 
 def test_scene_entities(spark, rows):
@@ -82,20 +82,20 @@ def test_scene_entities(spark, rows):
 
 
 def test_incomplete_attacks_can_be_rejected(spark, rows):
-    s = scenes(spark, incomplete="reject", stage="none")
+    s = scenes(spark, incomplete="reject", stage=False)
     assert rows(SL.status_summary(s.status)) == [("error", "incomplete_entities", 2)]
     assert s.slab.count() == 0 and SL.attack_meta(s).count() == 0
 
 
 def test_attack_without_tracking(spark, rows):
     lone = play(spark, [(9, 2, 1, 10, 1, 7, 1, "a", "pass")])
-    s = SL.build_scenes(tracking(spark), lone, players(spark))
+    s = SL.Scenes(tracking(spark), lone, players(spark))
     assert (2, 1, "error", "no_tracking") in rows(s.status)
 
 
 def test_substituted_in_attack_only(spark, rows):
     change = [(7, 1, 0, 112, 1, 10, 1, "c", "選手交代"), (8, 1, 0, 112, 0, 0, 1, "c", "選手交代")]
-    s = SL.build_scenes(tracking(spark), play(spark, change), players(spark))
+    s = SL.Scenes(tracking(spark), play(spark, change), players(spark))
     assert (1, 10) in rows(s.entities.filter("attack_no = 1"), "ha", "no")
     assert rows(s.entities.filter("attack_no = 2"), "ha", "no") == [(0, 0), (1, 7), (2, 9)]
 
@@ -140,6 +140,6 @@ def test_one_attack_holding_most_rows(spark, rows):
         "id AS rid", "1L AS game_id", "100 + id % 11 AS frame", "1 AS ha", "CAST(7 + id % 3 AS INT) AS no",
         "CAST(id AS double) AS x", "0.0D AS y",
     )
-    s = SL.build_scenes(hot, play(spark), players(spark))
+    s = SL.Scenes(hot, play(spark), players(spark))
     assert s.slab.filter("attack_no = 1").count() == 33
     assert rows(s.entities.filter("attack_no = 1"), "no", "n_rows") == [(7, 10000), (8, 10000), (9, 10000)]

@@ -35,7 +35,7 @@ def test_csv_star(spark, rows, star):
     t, p, r = T.read_tracking_star(spark, *[f"{star}/*/{n}.csv" for n in ("tracking", "play", "players")])
     assert t.count() == 6 and p.count() == 6 and r.count() == 6
     assert t.drop("rid").dtypes == [("game_id", "bigint"), ("frame", "bigint"), ("ha", "int"), ("no", "int"), ("x", "double"), ("y", "double")]
-    s = SL.build_scenes(t, p, r)
+    s = SL.Scenes(t, p, r)
     assert rows(s.ranges) == [(1, 1, 10, 12), (2, 1, 10, 12)]
     # The last of two rows of one shirt is the one that counts.
     assert rows(s.entities, "game_id", "entity_id") == [(1, "71"), (2, "71")]
