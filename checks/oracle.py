@@ -327,7 +327,10 @@ def _sql() -> dict[str, str]:
         "f.frame_count AS tensor_shape_1, CAST(2 AS BIGINT) AS tensor_shape_2, CAST(23 AS BIGINT) AS entities_count, g.entities "
         f"FROM ranges r JOIN (SELECT {ATT}, count(*) AS frame_count FROM frames GROUP BY 1,2) f USING ({ATT}) "
         f"JOIN (SELECT {ATT}, string_agg(coalesce(entity_id, 'None'), ',' ORDER BY entity_idx) AS entities FROM grid GROUP BY 1,2) g USING ({ATT})",
-        "attack_frames": base + "SELECT * FROM frames",
+        "attack_frames": base
+        + "SELECT f.*, round(b.x, 6) AS ball_x, round(b.y, 6) AS ball_y FROM frames f LEFT JOIN ("
+        f"SELECT {ATT}, frame, arg_max(x, rid) AS x, arg_max(y, rid) AS y FROM raw WHERE ha=0 AND no=0 GROUP BY 1,2,3) b "
+        f"USING ({ATT}, frame)",
         "patch_scale": patch + f"SELECT {ATT}, round(x_scale, 6) AS x_scale, round(y_scale, 6) AS y_scale FROM scale",
         "player_mean_vectors": win
         + f", flat AS (SELECT entity_id, i, {unit('vec')}[i+1] AS u FROM (SELECT *, unnest(range(0, 16)) AS i FROM features "

@@ -405,7 +405,7 @@ def attack_meta(spark, sf):
 
 @query
 def attack_frames(spark, sf):
-    return scenes(spark, sf).frames
+    return scenes(spark, sf).frames.withColumns({"ball_x": r6("ball_x"), "ball_y": r6("ball_y")})
 
 
 def _patch_rows(spark, sf):
@@ -469,7 +469,7 @@ def split_sizes(spark, sf):
 @query
 def frame_index(spark, sf):
     slab = A.attack_slab(S.tracking(spark, sf), A.attack_ranges(S.play(spark, sf)))
-    return SL.frame_index(slab).select(*ATTACK, "frame", "frame_idx")
+    return SL.frame_index(slab.select(*ATTACK, "frame").distinct()).select(*ATTACK, "frame", "frame_idx")
 
 
 @query

@@ -48,11 +48,10 @@ def attack_ranges(play: DataFrame) -> DataFrame:
     )
 
 
-def attack_slab(tracking: DataFrame, ranges: DataFrame) -> DataFrame:
+def attack_slab(tracking: DataFrame, ranges: DataFrame, keep_cell: bool = False) -> DataFrame:
     """Every tracking row of an attack's game inside its frame range; a row may belong to several attacks."""
-    return interval_join(tracking, ranges, ["game_id"], "frame", "min_frame", "max_frame").drop(
-        "min_frame", "max_frame"
-    )
+    held = interval_join(tracking, ranges, ["game_id"], "frame", "min_frame", "max_frame", keep_cell=keep_cell)
+    return held.drop("min_frame", "max_frame")
 
 
 def substitutions_in_attacks(play: DataFrame, ranges: DataFrame, marker: str = SUBSTITUTION_MARKER) -> DataFrame:

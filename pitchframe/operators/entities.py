@@ -13,10 +13,10 @@ def is_ball() -> Column:
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key: the one that was read last."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.col(order)).alias("_last")
-    return df.groupBy(*keys).agg(last).select(*keys, "_last.*")
+    """One row for each key: the one that was read last. Column by column, so that a hash aggregate can do it."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    last = [F.max_by(c, order).alias(c) for c in rest]
+    return df.groupBy(*keys).agg(*last, F.max(order).alias(order)).select(*df.columns)
 
 
 def entity_frame_counts(slab: DataFrame) -> DataFrame:

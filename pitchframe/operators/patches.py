@@ -50,13 +50,20 @@ def patch_scale(rows: DataFrame) -> DataFrame:
 
 
 def normalise_coords(rows: DataFrame) -> DataFrame:
-    """Divide x and y by the attack's scale. `rows` is a cut patch, so a group has slots x window rows at most."""
+    """Divide x and y, and the ball's if there, by the attack's scale.
+
+    `rows` is a cut patch, so a group has slots x window rows at most.
+    """
     whole = Window.partitionBy(*ATTACK)
     both = rows.withColumns({"_x": _largest("x").over(whole), "_y": _largest("y").over(whole)})
     usable = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    return both.withColumns(
-        {a: F.when(usable & (F.col(a) != 0), F.col(a) / (F.col(f"_{a}") * 1.1)).otherwise(F.col(a)) for a in "xy"}
-    ).drop("_x", "_y")
+
+    def scaled(name: str) -> Column:
+        value = F.col(name)
+        return F.when(usable & (value != 0), value / (F.col(f"_{name[-1]}") * 1.1)).otherwise(value)
+
+    names = [c for c in ("x", "y", "ball_x", "ball_y") if c in rows.columns]
+    return both.withColumns({c: scaled(c) for c in names}).drop("_x", "_y")
 
 
 def patch_rows(slab: DataFrame, window: int = 150, fps: int = 5) -> DataFrame:

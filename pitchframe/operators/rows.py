@@ -80,4 +80,6 @@ def enrich_tracking(tracking: DataFrame, play: DataFrame, players: DataFrame) ->
     """
     keys = ["game_id", "ha", "no"]
     info = players.withColumnRenamed("shirt_no", "no").drop("rid")
-    return tracking.join(play_names(play), keys, "left").join(info, [*keys, "player_name"], "left")
+    # Both small sides meet first, so the tracking rows are joined once.
+    named = play_names(play).join(info, [*keys, "player_name"], "left")
+    return tracking.join(named, keys, "left")

@@ -16,20 +16,20 @@ from pitchframe.schemas import ATTACK, ENTITY, MAX_PLAYERS, SLOTS, SUBSTITUTION_
 
 def cells(slab: DataFrame, order: str = "rid") -> DataFrame:
     """One row for each (attack, frame, entity): the position read last, and how many rows there were."""
-    return (
-        slab.groupBy(*ATTACK, "frame", *ENTITY)
-        .agg(F.max_by(F.struct("x", "y"), F.col(order)).alias("_p"), F.count(F.lit(1)).alias("n_rows"))
-        .select(*ATTACK, "frame", *ENTITY, "_p.x", "_p.y", "n_rows")
-    )
+    # `_cell` follows from the frame; as a key it lets the aggregate use the partitioning of the interval join.
+    keys = ["game_id", *(["_cell"] if "_cell" in slab.columns else []), "attack_no", "frame", *ENTITY]
+    last = [F.max_by(axis, order).alias(axis) for axis in ("x", "y")]
+    found = slab.groupBy(*keys).agg(*last, F.count(F.lit(1)).alias("n_rows"))
+    return found.select(*ATTACK, "frame", *ENTITY, "x", "y", "n_rows")
 
 
 def frame_index(rows: DataFrame) -> DataFrame:
     """(attack, frame) -> 0-based place among the frames observed in the attack, and their number `frame_count`.
 
     Frames are ranked inside cells of 1,024 frame numbers; only the cell sizes are summed along the attack, so a very
-    long attack does not end up in one task.
+    long attack does not end up in one task. Columns of a frame other than these are kept.
     """
-    frames = rows.select(*ATTACK, "frame").distinct().withColumn("_c", cell_of("frame"))
+    frames = rows.withColumn("_c", cell_of("frame"))
     local = Window.partitionBy(*ATTACK, "_c").orderBy("frame")
     ranked = frames.withColumn("_i", F.row_number().over(local) - 1)
     sizes = frames.groupBy(*ATTACK, "_c").agg(F.count(F.lit(1)).alias("_n"))
@@ -41,9 +41,15 @@ def frame_index(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
         F.sum("_n").over(whole).alias("frame_count"),
     )
-    return ranked.join(starts, [*ATTACK, "_c"]).select(
-        *ATTACK, "frame", (F.col("_start") + F.col("_i")).alias("frame_idx"), "frame_count"
-    )
+    placed = ranked.join(starts, [*ATTACK, "_c"]).withColumn("frame_idx", F.col("_start") + F.col("_i"))
+    rest = [c for c in rows.columns if c not in (*ATTACK, "frame")]
+    return placed.select(*ATTACK, "frame", "frame_idx", "frame_count", *rest)
+
+
+def observed_frames(found: DataFrame) -> DataFrame:
+    """Distinct frames of each attack with the place of the ball, NULL if it was not seen."""
+    ball = [F.max(F.when(E.is_ball(), F.col(a))).alias(f"ball_{a}") for a in "xy"]
+    return found.groupBy(*ATTACK, "frame").agg(*ball)
 
 
 class Scenes:
@@ -81,7 +87,7 @@ class Scenes:
     @cached_property
     def cells(self) -> DataFrame:
         """attack, frame, ha, no -> x, y, n_rows"""
-        return self._keep(cells(A.attack_slab(self._tracking, self.ranges), self._order))
+        return self._keep(cells(A.attack_slab(self._tracking, self.ranges, keep_cell=True), self._order))
 
     @property
     def _known(self) -> DataFrame:
@@ -108,16 +114,16 @@ class Scenes:
 
     @cached_property
     def frames(self) -> DataFrame:
-        """attack, frame -> frame_idx, frame_count"""
-        return self._keep(frame_index(self.cells))
+        """attack, frame -> frame_idx, frame_count, ball_x, ball_y"""
+        return self._keep(frame_index(observed_frames(self.cells)))
 
     @cached_property
     def slab(self) -> DataFrame:
-        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y; observed cells only"""
+        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y, ball_x, ball_y; observed cells only"""
         return (
             self._known.join(self._usable.select(*ATTACK, *ENTITY, "entity_idx", "is_ball"), [*ATTACK, *ENTITY])
             .join(self.frames, [*ATTACK, "frame"])
-            .select(*ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y")
+            .select(*ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y", "ball_x", "ball_y")
         )
 
     @cached_property
@@ -159,7 +165,7 @@ def dense_slab(scenes: Scenes, slots: int = SLOTS) -> DataFrame:
         .select(*ATTACK, "frame_idx", "frame_count")
         .withColumn("entity_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
     )
-    seen = scenes.slab.drop("frame_count", "is_ball")
+    seen = scenes.slab.select(*ATTACK, "entity_idx", "frame_idx", "x", "y")
     return grid.join(seen, [*ATTACK, "entity_idx", "frame_idx"], "left").select(
         *ATTACK, "entity_idx", "frame_idx", "frame_count", "x", "y"
     )

@@ -85,12 +85,8 @@ def window_features(
     same treatment as a model patch.
     """
     seen = slab.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    # The ball's place in a frame; a frame has one row for each slot, 23 at most.
-    frame = Window.partitionBy(*ATTACK, "frame_idx")
-    seen = seen.withColumns(
-        {f"_b{a}": F.max(F.when(F.col("is_ball"), F.col(a))).over(frame) for a in "xy"}
-    ).withColumn("_ball", F.hypot(F.col("x") - F.col("_bx"), F.col("y") - F.col("_by")))
-    rows = in_windows(seen.drop("_bx", "_by", "is_ball"), win, stride)
+    away = F.hypot(F.col("x") - F.col("ball_x"), F.col("y") - F.col("ball_y"))
+    rows = in_windows(seen.withColumn("_ball", away).drop("ball_x", "ball_y", "is_ball"), win, stride)
     # One entity in one window has `win` rows at most.
     along = Window.partitionBy(*WINDOW, "entity_idx").orderBy("frame_idx")
     rows = rows.withColumn(

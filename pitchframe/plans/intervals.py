@@ -15,13 +15,21 @@ def cell_of(point: str | Column, width: int = CELL) -> Column:
 
 
 def interval_join(
-    points: DataFrame, intervals: DataFrame, keys: list[str], point: str, lo: str, hi: str, width: int = CELL
+    points: DataFrame,
+    intervals: DataFrame,
+    keys: list[str],
+    point: str,
+    lo: str,
+    hi: str,
+    width: int = CELL,
+    keep_cell: bool = False,
 ) -> DataFrame:
     """Inner join on equal `keys` and `lo <= point <= hi`, both ends inclusive.
 
     Each interval is spread over the fixed-width cells it touches, so the join is an equality on (keys, cell): one hot
     key is split into its cells, Spark may broadcast the intervals when they are small and shuffles both sides when
-    they are not, and skewed cells can be split by the adaptive skew join.
+    they are not, and skewed cells can be split by the adaptive skew join. keep_cell=True leaves the cell number in
+    `_cell`: an aggregate on keys and `_cell` then needs no second shuffle.
     """
     spread = (
         intervals.filter(F.col(lo) <= F.col(hi))
@@ -39,9 +47,9 @@ def interval_join(
         )
         .drop("_step")
     )
-    return (
+    held = (
         points.withColumn("_cell", cell_of(point, width))
         .join(spread, [*keys, "_cell"])
         .filter(F.col(point).between(F.col(lo), F.col(hi)))
-        .drop("_cell")
     )
+    return held if keep_cell else held.drop("_cell")

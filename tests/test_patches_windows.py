@@ -8,11 +8,11 @@ from pitchframe.operators import splits as SP
 from pitchframe.operators import trajectories as TR
 from pitchframe.operators import windows as W
 
-SLAB = "game_id long, attack_no long, entity_idx long, is_ball boolean, frame_idx long, frame_count long, x double, y double"
+SLAB = "game_id long, attack_no long, entity_idx long, is_ball boolean, frame_idx long, frame_count long, x double, y double, ball_x double, ball_y double"
 
 
 def slab(spark, frames, entities=1, value=lambda e, f: (float(f), 1.0)):
-    rows = [(1, 1, e, e == 0, f, frames, *value(e, f)) for e in range(entities) for f in range(frames)]
+    rows = [(1, 1, e, e == 0, f, frames, *value(e, f), *value(0, f)) for e in range(entities) for f in range(frames)]
     return spark.createDataFrame(rows, SLAB)
 
 
