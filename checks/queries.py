@@ -421,7 +421,7 @@ def patch_scale(spark, sf):
 @query
 def player_mean_vectors(spark, sf):
     found = scenes(spark, sf)
-    return long_vec(V.player_mean_vectors(W.window_features(found.slab, found.entities, WIN, STRIDE)), "id")
+    return long_vec(V.player_mean_vectors(W.window_features(found.slab, found.entities, found.lengths, WIN, STRIDE)), "id")
 
 
 def _targets(spark, sf):
@@ -504,13 +504,9 @@ def keep_last_frames(spark, sf):
     return rows.select(*ATTACK, "entity_idx", *big("frame_idx", "frame_count"), r6("x").alias("x"))
 
 
-def _frame_counts(found):
-    return found.frames.select(*ATTACK, "frame_count").distinct()
-
-
 @query
 def sliding_windows(spark, sf):
-    return W.sliding_windows(_frame_counts(scenes(spark, sf)), WIN, STRIDE)
+    return W.sliding_windows(scenes(spark, sf).lengths, WIN, STRIDE)
 
 
 @query
@@ -708,14 +704,14 @@ def fit_width(spark, sf):
 @query
 def window_features(spark, sf):
     found = scenes(spark, sf)
-    rows = W.window_features(found.slab, found.entities, WIN, STRIDE)
+    rows = W.window_features(found.slab, found.entities, found.lengths, WIN, STRIDE)
     return long_vec(rows, *W.WINDOW, "entity_idx", "entity_id", "n_observed")
 
 
 @query
 def attack_vectors(spark, sf):
     found = scenes(spark, sf)
-    return long_vec(V.attack_vectors(W.window_features(found.slab, found.entities, WIN, STRIDE)), *W.WINDOW)
+    return long_vec(V.attack_vectors(W.window_features(found.slab, found.entities, found.lengths, WIN, STRIDE)), *W.WINDOW)
 
 
 @query
@@ -766,7 +762,7 @@ def _head_rows(spark, sf):
     """Steps of each slot beside the movement vector of the slot's last window, one unique key for each row."""
     found = scenes(spark, sf)
     target = TR.frame_deltas(P.patches(P.patch_rows(found.slab, PATCH, FPS), found.entities, PATCH))
-    vecs = W.window_features(found.slab, found.entities, WIN, STRIDE)
+    vecs = W.window_features(found.slab, found.entities, found.lengths, WIN, STRIDE)
     last = vecs.groupBy(*ATTACK, "entity_idx").agg(F.max_by("vec", "window_id").alias("vec"))
     key = (F.col("game_id") * 1000 + F.col("attack_no")) * 100 + F.col("entity_idx")
     rows = target.join(last, [*ATTACK, "entity_idx"]).withColumn("key", key)

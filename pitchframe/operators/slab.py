@@ -117,12 +117,25 @@ class Scenes:
         """attack, frame -> frame_idx, frame_count, ball_x, ball_y"""
         return self._keep(frame_index(observed_frames(self.cells)))
 
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """attack -> frame_count"""
+        return self.frames.groupBy(*ATTACK).agg(F.max("frame_count").alias("frame_count"))
+
     @cached_property
     def slab(self) -> DataFrame:
-        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y, ball_x, ball_y; observed cells only"""
+        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y, ball_x, ball_y; observed cells only
+
+        Each frame carries the slots of its attack, 23 at most, so the cells are shuffled once, to their frame.
+        """
+        entry = F.struct(F.struct("ha", "no"), F.col("entity_idx"))
+        slots = self._usable.groupBy(*ATTACK).agg(F.map_from_entries(F.collect_list(entry)).alias("_slots"))
+        framed = self.frames.join(slots, ATTACK)
         return (
-            self._known.join(self._usable.select(*ATTACK, *ENTITY, "entity_idx", "is_ball"), [*ATTACK, *ENTITY])
-            .join(self.frames, [*ATTACK, "frame"])
+            self._known.join(framed, [*ATTACK, "frame"])
+            .withColumn("entity_idx", F.try_element_at("_slots", F.struct("ha", "no")))
+            .filter(F.col("entity_idx").isNotNull())
+            .withColumn("is_ball", E.is_ball())
             .select(*ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y", "ball_x", "ball_y")
         )
 
@@ -177,7 +190,6 @@ def attack_meta(scenes: Scenes, slots: int = SLOTS) -> DataFrame:
     The frame numbers stay in the long table `frames`: as a list they would grow with the attack.
     """
     usable = scenes.status.filter(F.col("status") == "ok").select(*ATTACK)
-    sizes = scenes.frames.groupBy(*ATTACK).agg(F.max("frame_count").alias("frame_count"))
     taken = scenes.entities.groupBy(*ATTACK).agg(
         F.map_from_entries(F.collect_list(F.struct("entity_idx", "entity_id"))).alias("_ids")
     )
@@ -187,7 +199,7 @@ def attack_meta(scenes: Scenes, slots: int = SLOTS) -> DataFrame:
     empty = F.array_repeat(F.lit(None).cast("string"), slots)
     return (
         scenes.ranges.join(usable, ATTACK, "left_semi")
-        .join(sizes, ATTACK)
+        .join(scenes.lengths, ATTACK)
         .join(taken, ATTACK, "left")
         .select(
             *ATTACK,

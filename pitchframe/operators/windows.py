@@ -77,11 +77,16 @@ FEATURES = [
 
 
 def window_features(
-    slab: DataFrame, entities: DataFrame, win: int = 150, stride: int = 75, min_observed: int = 0
+    slab: DataFrame,
+    entities: DataFrame,
+    lengths: DataFrame,
+    win: int = 150,
+    stride: int = 75,
+    min_observed: int = 0,
 ) -> DataFrame:
     """Sixteen movement statistics (FEATURES) of each entity in each window, over the frames it was seen in.
 
-    min_observed=0 keeps entities a window never saw, as all-zero vectors. Give a thinned or scaled slab to get the
+    `lengths` is (attack, frame_count). min_observed=0 keeps entities a window never saw, as all-zero vectors. Give a thinned or scaled slab to get the
     same treatment as a model patch.
     """
     seen = slab.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -114,8 +119,7 @@ def window_features(
     )
     net = F.hypot(F.col("_to.x") - F.col("_from.x"), F.col("_to.y") - F.col("_from.y"))
     stats = stats.withColumns({"net_displacement": net, "observed_share": F.col("n_observed") / win})
-    counts = slab.groupBy(*ATTACK).agg(F.max("frame_count").alias("frame_count"))
-    slots = sliding_windows(counts, win, stride).join(
+    slots = sliding_windows(lengths, win, stride).join(
         entities.select(*ATTACK, "entity_idx", "is_ball", "entity_id"), ATTACK
     )
     return (

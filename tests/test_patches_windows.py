@@ -72,14 +72,15 @@ def test_features(spark):
         [(1, 1, 0, True, "ball"), (1, 1, 1, False, "7"), (1, 1, 2, False, "8")],
         "game_id long, attack_no long, entity_idx long, is_ball boolean, entity_id string",
     )
-    got = {r.entity_id: dict(zip(W.FEATURES, r.vec)) for r in W.window_features(df, ents, 8, 4).collect()}
+    lengths = spark.createDataFrame([(1, 1, 4)], "game_id long, attack_no long, frame_count long")
+    got = {r.entity_id: dict(zip(W.FEATURES, r.vec)) for r in W.window_features(df, ents, lengths, 8, 4).collect()}
     assert set(got) == {"ball", "7", "8"} and set(got["8"].values()) == {0.0}
     f = got["7"]
     assert f["observed_share"] == 0.5 and f["avg_x"] == 4.5 and f["max_y"] == 12.0
     assert f["avg_step"] == f["max_step"] == 5.0 and f["std_step"] == 0.0 and f["path_length"] == 15.0
     assert f["net_displacement"] == 15.0 and f["avg_ball_distance"] == 7.5
     assert math.isclose(f["std_x"], np.std([0, 3, 6, 9]))
-    assert W.window_features(df, ents, 8, 4, min_observed=1).count() == 2
+    assert W.window_features(df, ents, lengths, 8, 4, min_observed=1).count() == 2
 
 
 def test_pad_window_and_patch(spark):
