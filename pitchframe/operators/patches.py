@@ -49,21 +49,31 @@ def patch_scale(rows: DataFrame) -> DataFrame:
     )
 
 
+def _scaled(name: str, x: Column, y: Column) -> Column:
+    """A coordinate over its axis scale; zero stays zero, and nothing changes without both scales."""
+    value, scale = F.col(name), x if name.endswith("x") else y
+    return F.when(x.isNotNull() & y.isNotNull() & (value != 0), value / scale).otherwise(value)
+
+
+def _coords(rows: DataFrame) -> list[str]:
+    return [c for c in ("x", "y", "ball_x", "ball_y") if c in rows.columns]
+
+
 def normalise_coords(rows: DataFrame) -> DataFrame:
     """Divide x and y, and the ball's if there, by the attack's scale.
 
-    `rows` is a cut patch, so a group has slots x window rows at most.
+    `rows` is a cut patch, so a group has slots x window rows at most; whole attacks go through normalise_attacks.
     """
     whole = Window.partitionBy(*ATTACK)
-    both = rows.withColumns({"_x": _largest("x").over(whole), "_y": _largest("y").over(whole)})
-    usable = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    both = rows.withColumns({f"_{a}": _largest(a).over(whole) * 1.1 for a in "xy"})
+    return both.withColumns({c: _scaled(c, F.col("_x"), F.col("_y")) for c in _coords(rows)}).drop("_x", "_y")
 
-    def scaled(name: str) -> Column:
-        value = F.col(name)
-        return F.when(usable & (value != 0), value / (F.col(f"_{name[-1]}") * 1.1)).otherwise(value)
 
-    names = [c for c in ("x", "y", "ball_x", "ball_y") if c in rows.columns]
-    return both.withColumns({c: scaled(c) for c in names}).drop("_x", "_y")
+def normalise_attacks(slab: DataFrame) -> DataFrame:
+    """The same for attacks of any length: the scale is aggregated first and joined."""
+    both = slab.join(patch_scale(slab), ATTACK)
+    names = {c: _scaled(c, F.col("x_scale"), F.col("y_scale")) for c in _coords(slab)}
+    return both.withColumns(names).drop("x_scale", "y_scale")
 
 
 def patch_rows(slab: DataFrame, window: int = 150, fps: int = 5) -> DataFrame:
