@@ -24,7 +24,7 @@ ORDER = {
 }
 # A file holds this many attacks of a game, or this many frames of a very long attack.
 ATTACKS_PER_FILE = 64
-FRAMES_PER_FILE = 1 << 18
+FRAMES_PER_FILE = 1 << 16
 
 
 def _check(fmt: str) -> None:
