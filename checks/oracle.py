@@ -399,8 +399,11 @@ def _sql() -> dict[str, str]:
         f"WHEN 0 THEN '選手名: '||name||chr(10)||'{REQUEST}'||chr(10)||'質問: '||name||'選手について' "
         f"WHEN 1 THEN '{REQUEST}'||chr(10)||'質問: 教えて' "
         f"ELSE '選手名: '||name||'、チーム: '||team||chr(10)||'{REQUEST}'||chr(10)||'質問: '||team||'の'||name||'選手について' END AS prompt FROM qs",
-        "int_key": "SELECT c_custkey, CASE WHEN c_custkey%5<>0 THEN CAST(c_custkey AS VARCHAR) END AS int_key, "
-        "ltrim(lpad(CAST(c_custkey AS VARCHAR), 9, '0')||CASE WHEN c_custkey%5=0 THEN 'x' ELSE '' END, '0') AS stripped FROM customer",
+        "int_key": "SELECT c_custkey, CASE WHEN c_custkey%5<>0 THEN CAST(c_custkey AS VARCHAR) END AS int_key FROM customer",
+        "strip_zeros": "SELECT c_custkey, ltrim(lpad(CAST(c_custkey AS VARCHAR), 9, '0')"
+        "||CASE WHEN c_custkey%5=0 THEN 'x' ELSE '' END, '0') AS stripped FROM customer",
+        "feather_sink": base
+        + f"SELECT rid, game_id, frame, CAST(ha AS BIGINT) AS ha, CAST(no AS BIGINT) AS no, {r2}, round(y, 6) AS y FROM tracking",
         "clean_row_text": f"WITH {SUPERVISION} SELECT id, turn, coalesce(prompt, '') AS prompt, coalesce(target, '') AS target FROM sup",
         "l2_normalise": vec + explode("id", "u", f"(SELECT id, {unit('vec[1:32]')} AS u FROM vecs)"),
         "fit_width": vec

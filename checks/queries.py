@@ -26,6 +26,7 @@ from pitchframe.plans.session import shared_folder, staged, tune
 from pitchframe.schemas import ATTACK, PLAY_NAMES, PLAYERS_NAMES, TRACKING_NAMES
 from pitchframe.sources import store as ST
 from pitchframe.sources import tables as T
+from pitchframe.sources.feather import register_feather
 
 QUERIES = {}
 
@@ -163,6 +164,15 @@ def feather_source(spark, sf):
     return rows.withColumn("entity_idx", F.col("entity_idx").cast("bigint")).join(sums, [*ATTACK, "entity_idx"])
 
 
+@query
+def feather_sink(spark, sf):
+    path = fresh_path(spark)
+    register_feather(spark)
+    S.tracking(spark, sf).write.format("feather").mode("append").save(path)
+    rows = spark.read.format("feather").load(path)
+    return rows.select("rid", "game_id", "frame", *big("ha"), *big("no"), r6("x").alias("x"), r6("y").alias("y"))
+
+
 def _wide(spark, sf):
     """Vectors as text columns, those near zero left blank."""
     cells = [
@@ -677,9 +687,14 @@ def prompt_text(spark, sf):
 def int_key(spark, sf):
     key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
     mixed = F.when(F.col("c_custkey") % 5 == 0, F.concat(key, F.lit("x"))).otherwise(key)
-    return S.table(spark, sf, "customer").select(
-        "c_custkey", TX.int_key(mixed).alias("int_key"), TX.strip_zeros(mixed).alias("stripped")
-    )
+    return S.table(spark, sf, "customer").select("c_custkey", TX.int_key(mixed).alias("int_key"))
+
+
+@query
+def strip_zeros(spark, sf):
+    key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    mixed = F.when(F.col("c_custkey") % 5 == 0, F.concat(key, F.lit("x"))).otherwise(key)
+    return S.table(spark, sf, "customer").select("c_custkey", TX.strip_zeros(mixed).alias("stripped"))
 
 
 @query

@@ -1,4 +1,4 @@
-"""The jobs a user runs from start to end: export attacks, build player vectors, report on styles, answer rows."""
+"""The jobs a user runs: export attacks, batches, training patches, player vectors, style reports, answer rows."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from pitchframe.functions.arrays import fit_width, l2_normalise
 from pitchframe.functions.text import prompt_text
+from pitchframe.operators import attacks as A
 from pitchframe.operators import evaluation as EV
 from pitchframe.operators import lookup as LK
 from pitchframe.operators import patches as P
+from pitchframe.operators import rows as R
 from pitchframe.operators import slab as SL
+from pitchframe.operators import splits as SP
 from pitchframe.operators import vectors as V
 from pitchframe.operators import windows as W
-from pitchframe.operators.rows import require_rows
 from pitchframe.plans.session import staged
 from pitchframe.schemas import ATTACK, SOURCE_FPS
 from pitchframe.sources import store as ST
@@ -69,7 +71,7 @@ def build_player_vectors(
         slab = P.normalise_attacks(slab)
     features = W.window_features(slab, entities, lengths, win, stride, min_observed)
     means = staged(V.player_mean_vectors(features).select("id", "vec"))
-    require_rows(means, "no player vectors: check the data and the entities in meta")
+    R.require_rows(means, "no player vectors: check the data and the entities in meta")
     projection = V.pca_project(means, width)
     V.save_projection(projection, f"{out}/projection")
     T.write_embeddings_csv(V.player_order(projection.vectors), f"{out}/player_vectors")
@@ -107,3 +109,43 @@ def answer_rows(questions: DataFrame, roster: DataFrame, vectors: DataFrame, tem
     known = LK.lookup_vector(found.select("player_id").filter("player_id IS NOT NULL").distinct(), unit_vectors(vectors), "player_id")
     prompt = prompt_text("question") if template else F.col("question")
     return found.join(known, "player_id", "left").withColumn("prompt", prompt)
+
+
+def tracking_batch(
+    tracking: DataFrame, play: DataFrame, players: DataFrame, index: int | None = None, size: int = 32, seed: int = 42
+) -> DataFrame:
+    """One page of the tracking rows, or `size` random ones, with the players they belong to."""
+    rows = R.sample_rows(tracking, size, ["rid"], seed) if index is None else R.page(tracking, index, "rid", size)
+    return R.enrich_tracking(rows, play, players)
+
+
+def attack_batch(
+    tracking: DataFrame, play: DataFrame, game_id: int | None = None, attack_no: int | None = None, seed: int = 42
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frame range, tracking rows, play rows) of one attack; a random one unless both keys are given."""
+    if game_id is None or attack_no is None:
+        game_id, attack_no = R.sample_attack(A.attacks(play), seed).first()
+    span = A.attack_ranges(play.filter((F.col("game_id") == game_id) & (F.col("attack_no") == attack_no)))
+    bounds = span.first()
+    if bounds is None:
+        raise ValueError(f"no attack {game_id}/{attack_no}")
+    rows = A.frame_slice(tracking, game_id, bounds["min_frame"], bounds["max_frame"])
+    return span, rows, A.play_of_attack(play, game_id, attack_no)
+
+
+def training_patches(
+    tensor: DataFrame,
+    meta: DataFrame,
+    window: int = 150,
+    fps: int = 5,
+    ratios: tuple[float, float, float] = (0.7, 0.2, 0.1),
+    seed: int = 42,
+    max_attacks: int | None = None,
+) -> DataFrame:
+    """Stored attacks -> one row for each slot: xs, ys, player_code, team_id (0, as it is not stored) and the split."""
+    listed = ST.list_attacks(meta, tensor, max_attacks).select(*ATTACK)
+    split = SP.train_val_test_split(listed, ATTACK, *ratios, seed=seed)
+    slab, entities, _ = stored_slab(tensor, meta)
+    rows = P.patch_rows(slab, window, fps)
+    out = P.patches(rows, entities, window, attacks=listed).withColumn("team_id", F.lit(0).cast("bigint"))
+    return out.join(split, ATTACK)

@@ -66,12 +66,11 @@ def entity_index(selected: DataFrame) -> DataFrame:
     )
 
 
-def pad_slots(indexed: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """All `slots` slots of every attack; the ones nobody takes are NULL."""
+def pad_slots(indexed: DataFrame, slots: int = SLOTS, attacks: DataFrame | None = None) -> DataFrame:
+    """All `slots` slots of every attack; the ones nobody takes are NULL. `attacks` may list attacks without entities."""
+    listed = indexed.select(*ATTACK).distinct() if attacks is None else attacks
     grid = (
-        indexed.select(*ATTACK)
-        .distinct()
-        .withColumn("entity_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
+        listed.withColumn("entity_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
     )
     return grid.join(indexed, [*ATTACK, "entity_idx"], "left")
 

@@ -81,7 +81,9 @@ def patch_rows(slab: DataFrame, window: int = 150, fps: int = 5) -> DataFrame:
     return normalise_coords(zero_fill_coords(keep_last_frames(thin_frames(slab, fps), window)))
 
 
-def patches(rows: DataFrame, entities: DataFrame, window: int = 150, slots: int = SLOTS) -> DataFrame:
+def patches(
+    rows: DataFrame, entities: DataFrame, window: int = 150, slots: int = SLOTS, attacks: DataFrame | None = None
+) -> DataFrame:
     """One row for each slot of an attack: xs and ys of `window` numbers, zero where nothing was seen."""
     seen = rows.groupBy(*ATTACK, "entity_idx").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("frame_idx"), F.struct("x", "y")))).alias("_m")
@@ -93,7 +95,7 @@ def patches(rows: DataFrame, entities: DataFrame, window: int = 150, slots: int
         return F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), window)).otherwise(filled)
 
     return (
-        pad_slots(entities, slots)
+        pad_slots(entities, slots, attacks)
         .join(seen, [*ATTACK, "entity_idx"], "left")
         .select(
             *ATTACK,

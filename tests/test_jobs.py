@@ -7,6 +7,7 @@ import pytest
 from pitchframe import jobs
 from pitchframe.sources import store as ST
 from pitchframe.sources import tables as T
+from tests.test_attacks import play, players, tracking
 from tests.test_sources import write
 
 
@@ -43,6 +44,12 @@ def test_from_csv_to_report(spark, rows, season, fmt):
     ids = {(r.game_id, r.attack_no): r.entities for r in meta.collect()}
     assert "204" in ids[1, 1] and "204" not in ids[1, 2]
 
+    patches = jobs.training_patches(tensor, meta, window=20, ratios=(0.5, 0.25, 0.25)).collect()
+    assert len(patches) == 4 * 23 and {len(r.xs) for r in patches} == {20}
+    assert sorted(r.split for r in patches if r.entity_idx == 0) == ["test", "train", "train", "val"]
+    assert {r.player_code for r in patches if r.entity_idx == 0} == {-1} and max(abs(x) for r in patches for x in r.xs) <= 1 / 1.1 + 1e-9
+    assert len(jobs.training_patches(tensor, meta, max_attacks=1).select("game_id", "attack_no").distinct().collect()) == 1
+
     whole = jobs.build_player_vectors(tensor, meta, f"{season}/v", win=50, stride=25, fps=25, normalise=False, width=4)
     jobs.build_player_vectors(tensor, meta, f"{season}/w", win=20, stride=10, width=4)
     assert whole.vectors.count() == 8
@@ -66,3 +73,14 @@ def test_answers(spark):
     a, b, c = (got[q.question] for q in asked.collect())
     assert (a.player_id, a.vector_id, a.vec[:2]) == ("007", "7", [0.6, 0.8]) and a.prompt.startswith("選手名: 家長 昭博、チーム: 川崎\n")
     assert (b.player_id, b.vec) == ("8", None) and c.player_id is None and c.prompt.startswith("この選手の")
+
+
+def test_batches(spark, rows):
+    t, p, r = tracking(spark), play(spark), players(spark)
+    span, seen, acts = jobs.attack_batch(t, p, 1, 2)
+    assert rows(span) == [(1, 2, 104, 120)] and {x.frame for x in seen.collect()} == {104, 111} and acts.count() == 2
+    assert rows(jobs.attack_batch(t, p, seed=1)[0]) == rows(jobs.attack_batch(t, p, seed=1)[0])
+    with pytest.raises(ValueError):
+        jobs.attack_batch(t, p, 1, 77)
+    assert jobs.tracking_batch(t, p, r, 0, 4).select("rid").distinct().count() == 4
+    assert jobs.tracking_batch(t, p, r, size=5).select("rid").distinct().count() == 5
