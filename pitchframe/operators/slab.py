@@ -123,8 +123,8 @@ class Scenes:
         return self.frames.groupBy(*ATTACK).agg(F.max("frame_count").alias("frame_count"))
 
     @cached_property
-    def slab(self) -> DataFrame:
-        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y, ball_x, ball_y; observed cells only
+    def placed(self) -> DataFrame:
+        """The slab with `frame`, the frame number.
 
         Each frame carries the slots of its attack, 23 at most, so the cells are shuffled once, to their frame.
         """
@@ -136,7 +136,14 @@ class Scenes:
             .withColumn("entity_idx", F.try_element_at("_slots", F.struct("ha", "no")))
             .filter(F.col("entity_idx").isNotNull())
             .withColumn("is_ball", E.is_ball())
-            .select(*ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y", "ball_x", "ball_y")
+            .drop("_slots", *ENTITY, "n_rows")
+        )
+
+    @cached_property
+    def slab(self) -> DataFrame:
+        """attack, entity_idx, is_ball, frame_idx, frame_count, x, y, ball_x, ball_y; observed cells only"""
+        return self.placed.select(
+            *ATTACK, "entity_idx", "is_ball", "frame_idx", "frame_count", "x", "y", "ball_x", "ball_y"
         )
 
     @cached_property
@@ -171,16 +178,20 @@ def status_summary(status: DataFrame) -> DataFrame:
 
 
 def dense_slab(scenes: Scenes, slots: int = SLOTS) -> DataFrame:
-    """All slots x frames of every usable attack, positions nobody was seen at being NULL."""
+    """All slots x frames of every usable attack, positions nobody was seen at being NULL.
+
+    The slots of a frame are gathered where the slab already is, by frame, and spread out after the join.
+    """
     usable = scenes.status.filter(F.col("status") == "ok").select(*ATTACK)
-    grid = (
-        scenes.frames.join(usable, ATTACK, "left_semi")
-        .select(*ATTACK, "frame_idx", "frame_count")
-        .withColumn("entity_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
-    )
-    seen = scenes.slab.select(*ATTACK, "entity_idx", "frame_idx", "x", "y")
-    return grid.join(seen, [*ATTACK, "entity_idx", "frame_idx"], "left").select(
-        *ATTACK, "entity_idx", "frame_idx", "frame_count", "x", "y"
+    frames = scenes.frames.join(usable, ATTACK, "left_semi").select(*ATTACK, "frame", "frame_idx", "frame_count")
+    entry = F.struct(F.col("entity_idx"), F.struct("x", "y"))
+    seen = scenes.placed.groupBy(*ATTACK, "frame").agg(F.map_from_entries(F.collect_list(entry)).alias("_at"))
+    slot = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint")))
+    at = F.try_element_at("_at", F.col("entity_idx"))
+    return (
+        frames.join(seen, [*ATTACK, "frame"], "left")
+        .withColumn("entity_idx", slot)
+        .select(*ATTACK, "entity_idx", "frame_idx", "frame_count", at["x"].alias("x"), at["y"].alias("y"))
     )
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where a local session without a checkpoint folder remembers its temporary one.
+LOCAL_FOLDER = "spark.pitchframe.folder"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Run-time settings the operators count on: adaptive plans, split of skewed join partitions, UTC times."""
@@ -25,13 +28,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="pitchframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(LOCAL_FOLDER, folder)
     return folder
 
 

@@ -52,3 +52,27 @@ def test_staged_keeps_rows_and_types(spark):
     again = staged(df)
     assert again.dtypes == df.dtypes and again.collect() == df.collect()
     assert shared_folder(spark) in again.inputFiles()[0]
+
+
+class Session:
+    """Settings and master of a session that names no folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = Settings(), type("Context", (), {"master": master})()
+
+
+class Settings(dict):
+    def set(self, key, value):
+        self[key] = value
+
+
+def test_only_a_local_session_makes_its_own_folder(spark):
+    local = Session("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError):
+        shared_folder(Session("yarn"))
+    named = Session("yarn")
+    named.conf.set("spark.checkpoint.dir", "hdfs:///x")
+    assert shared_folder(named) == "hdfs:///x"
+    spark.conf.set("spark.pitchframe.folder", "x")
+    spark.conf.unset("spark.pitchframe.folder")
