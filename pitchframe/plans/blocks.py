@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_ROWS = 2048
 
@@ -46,8 +47,20 @@ def chunk_pairs(
         queries, base = queries.join(sizes, keys), base.join(sizes, keys)
     else:
         nq, nb = _chunks(queries, rows), _chunks(base, rows)
-        queries, base = (df.withColumns({"_nq": nq, "_nb": nb}).filter((F.col("_nq") > 0) & (F.col("_nb") > 0)) for df in (queries, base))
+        # Without rows on one side there is no chunk to send the other side's rows to.
+        some = (F.col("_nq") > 0) & (F.col("_nb") > 0)
+        queries = queries.withColumns({"_nq": nq, "_nb": nb}).filter(some)
+        base = base.withColumns({"_nq": nq, "_nb": nb}).filter(some)
     q = _cut(queries, row_key, "_qc", "_bc", F.col("_nq"), F.col("_nb"))
     b = _cut(base, row_key, "_bc", "_qc", F.col("_nb"), F.col("_nq"))
-    on = [*keys, "_qc", "_bc"]
-    return q.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(kernel, schema)
+    on, names = [*keys, "_qc", "_bc"], StructType.fromDDL(schema).names
+
+    def run(query_pdf, base_pdf):
+        if len(query_pdf) and len(base_pdf):
+            return kernel(query_pdf, base_pdf)
+        # A chunk may have got no row.
+        import pandas as pd
+
+        return pd.DataFrame(columns=names)
+
+    return q.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(run, schema)

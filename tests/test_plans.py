@@ -30,9 +30,11 @@ def test_position_by_hash_and_sort(spark):
     assert placed == {str(i): i for i in range(500)}
 
 
-def test_every_chunk_pair_once(spark):
+@pytest.mark.parametrize("chunk", [32, 2])
+def test_every_chunk_pair_once(spark, chunk):
     """Groups of very different size: each query meets each base row of its group exactly once."""
-    rows = [(0, i) for i in range(300)] + [(1, i) for i in range(300, 303)]
+    total = 300 if chunk > 2 else 20
+    rows = [(0, i) for i in range(total)] + [(1, i) for i in range(total, total + 3)]
     df = spark.createDataFrame(rows, "g int, k int")
 
     def kernel(q, b):
@@ -40,11 +42,11 @@ def test_every_chunk_pair_once(spark):
 
         return pd.DataFrame({"g": q["g"], "k": q["k"], "n": len(b), "s": int(b["k"].sum())})
 
-    out = chunk_pairs(df, df, ["g"], "k", kernel, "g int, k int, n long, s long", rows=32)
-    assert out.count() > 300
+    out = chunk_pairs(df, df, ["g"], "k", kernel, "g int, k int, n long, s long", rows=chunk)
+    assert out.count() > total
     got = out.groupBy("g", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
-    assert len(got) == 303
-    assert {(r.g, r.n, r.s) for r in got} == {(0, 300, 300 * 299 // 2), (1, 3, 903)}
+    assert len(got) == total + 3
+    assert {(r.g, r.n, r.s) for r in got} == {(0, total, total * (total - 1) // 2), (1, 3, 3 * total + 3)}
 
 
 def test_staged_keeps_rows_and_types(spark):
