@@ -139,7 +139,7 @@ class PlaneWriter:
     def __init__(self, uri: str, kind: str):
         self.uri, self.kind, self.press = uri, kind, zstandard.ZstdCompressor(level=3)
         fs, path = open_fs(uri)
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         self.out.write(MAGIC)
         self.at, self.ids, self.held, self.waiting = len(MAGIC), 0, [], 0
         self.chunks: list[list[int]] = []
