@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry_module
 from checks.compare import TABLES, compare
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
@@ -21,7 +23,7 @@ def con():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", [n for n in entry_module.queries() if n in entry_module.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE])
 def test_query_matches_sql(spark, con, name):
     assert " ok " in compare(spark, con, name, FOLDER)
 
