@@ -6,6 +6,7 @@ from pitchframe.llm.decontaminate import op10_decontaminate
 from pitchframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pitchframe.llm.license_scan import OP1_SQL, op1_license_scan
 from pitchframe.llm.quality import op2_quality
+from pitchframe.llm.repeats import op8_repeats
 from pitchframe.llm.simhash import op4_simhash
 from pitchframe.llm.source_mix import OP3_SQL, op3_source_mix
 from pitchframe.llm.token_planes import op7_token_planes
@@ -22,6 +23,7 @@ QUERIES = {
         op5_exact_dedup,
         op6_warc,
         op7_token_planes,
+        op8_repeats,
         op9_url_filter,
         op10_decontaminate,
     )
