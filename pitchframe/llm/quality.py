@@ -5,6 +5,7 @@ Counts, probabilities and documents meet in joins sharded by n-gram and by block
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -195,54 +196,45 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
     return below.select("lang", F.col("g").alias("gram"), F.log("p").alias("logp"))
 
 
-def pack_table(batches):
-    """The log probabilities that one block needs, by language, as one row for each task they come from."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        out = []
-        for (block, lang), part in frame.groupby(["block", "lang"], sort=False):
-            part = part.sort_values("gram")
-            blob = part["gram"].to_numpy(np.int64).tobytes() + part["logp"].to_numpy(np.float64).tobytes()
-            out.append((block, 0, [len(part)], [lang], None, zstandard.compress(blob, 1)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PACKED)], schema=PACKED)
-
-
 def score(order: int):
-    """For mapInArrow over rows sorted by block and kind: the loss of each document by its block's probabilities."""
+    """For mapInArrow over rows sorted by block, kind, lang and gram: first the log probabilities a block needs, then
+    its documents; gives the loss of each document."""
+
+    def tables_of(batch, parts):
+        langs = batch.column("lang").dictionary_encode()
+        codes, names, logp = langs.indices.to_numpy(), batch.column("gram").to_numpy(), batch.column("logp").to_numpy()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            parts.setdefault(lang, []).append((names[codes == k], logp[codes == k]))
 
     def run(batches):
         block, parts, tables = None, {}, {}
         for batch in batches:
-            for i, (b, kind) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist())):
-                if b != block:
-                    block, parts, tables = b, {}, {}
-                if kind == 0:
-                    blob, n = zstandard.decompress(batch.column("blob")[i].as_py()), batch.column("keys")[i].as_py()[0]
-                    part = (np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.float64, n, 8 * n))
-                    parts.setdefault(batch.column("langs")[i].as_py()[0], []).append(part)
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(blocks)]):
+                if blocks[start] != block:
+                    block, parts, tables = blocks[start], {}, {}
+                if kinds[start] == 0:
+                    tables_of(batch.slice(start, stop - start), parts)
                     continue
-                keys, langs, texts = unpacked(batch, i)
-                loss, tokens = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-                for lang in set(langs):
-                    if lang not in tables:
-                        names, logp = (np.concatenate(x) for x in zip(*parts[lang]))
-                        by = np.argsort(names)
-                        tables[lang] = (names[by], logp[by])
-                    names, logp = tables[lang]
-                    of = np.flatnonzero(langs == lang)
-                    mine = [texts[j] for j in of]
-                    for run_ in portions(mine):
-                        packed, lengths = grams(mine[run_], order)
-                        codes, found = pd.factorize(packed)
-                        values = logp[np.searchsorted(names, found)][codes]
-                        loss[of[run_]] = -np.add.reduceat(values, np.cumsum(lengths) - lengths)
-                        tokens[of[run_]] = lengths
-                import hashlib
-
-                digests = [hashlib.sha256(t).digest()[:16] for t in texts]
-                cols = [pa.array(list(keys), pa.int64()), pa.array(digests), pa.array(list(langs), pa.string()), pa.array(tokens), pa.array(loss)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "digest", "lang", "tokens", "loss"])
+                for i in range(start, stop):
+                    keys, langs, texts = unpacked(batch, i)
+                    loss, tokens = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+                    for lang in set(langs):
+                        if lang not in tables:
+                            tables[lang] = tuple(np.concatenate(x) for x in zip(*parts.pop(lang)))
+                        names, logp = tables[lang]
+                        of = np.flatnonzero(langs == lang)
+                        mine = [texts[j] for j in of]
+                        for run_ in portions(mine):
+                            packed, lengths = grams(mine[run_], order)
+                            codes, found = pd.factorize(packed)
+                            values = logp[np.searchsorted(names, found)][codes]
+                            loss[of[run_]] = -np.add.reduceat(values, np.cumsum(lengths) - lengths)
+                            tokens[of[run_]] = lengths
+                    digests = [hashlib.sha256(t).digest()[:16] for t in texts]
+                    cols = [pa.array(list(keys), pa.int64()), pa.array(digests), pa.array(list(langs), pa.string()), pa.array(tokens), pa.array(loss)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "digest", "lang", "tokens", "loss"])
 
     return run
 
@@ -265,8 +257,10 @@ def score_documents(
     counted = staged(counted.mapInArrow(count_grams(order), "block bigint, lang string, gram bigint, train bigint"))
     counts = staged(counted.groupBy("lang", "gram").agg(F.sum("train").alias("c")))
     logp = staged(probabilities(counts, order))
-    tables = counted.select("block", "lang", "gram").join(logp, ["lang", "gram"]).select("block", "lang", "gram", "logp").mapInArrow(pack_table, PACKED_SQL)
-    met = _packed_rows(rows, n).unionByName(tables).repartition(n, "block").sortWithinPartitions("block", "kind")
+    # A row for each n-gram of a block, as many as the blocks have, however many tasks they come from.
+    tables = counted.select("block", F.lit(0).alias("kind"), "lang", "gram").join(logp, ["lang", "gram"])
+    met = _packed_rows(rows, n).unionByName(tables, allowMissingColumns=True)
+    met = met.repartition(n, "block").sortWithinPartitions("block", "kind", "lang", "gram")
     return staged(met.mapInArrow(score(order), "key bigint, digest binary, lang string, tokens bigint, loss double"))
 
 
