@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import LOWER, UPPER, lower_ascii, table
-from pitchframe.plans.session import tune
+from pitchframe.plans.session import staged, tune
 
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+# Stop words: they say nothing about a licence and are no terms.
+EVERYDAY = "the of and to in a is it by you for that this with as be or are not from may can any use under out".split()
 MAX_TEMPLATES = 5000
 THRESHOLD = 0.6
 # A notice that makes up this share of a file makes it a licence file of its directory, as does its name.
@@ -40,12 +42,14 @@ TEMPLATES = [
 def weigh(templates: list[tuple[str, str]], threshold: float) -> tuple[dict[str, float], float, list[tuple[str, int, str, float]], list[str]]:
     """idf of each template term, idf of any other term, unit weights (licence, template, term, weight), anchor terms.
 
-    A text whose shared terms hold less than `threshold` of a template's norm can't reach that cosine. Anchors are
-    each template's heaviest terms down to where the rest falls below it: a text without any anchor matches nothing.
+    A text whose shared terms hold less than `threshold` of a template's norm can't reach that cosine. So terms may be
+    passed over as long as together they hold less, and the template's other terms are its anchors: a text without any
+    anchor matches nothing. Light terms are passed over first; no choice can lose a match.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     counts = [Counter(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))) for _, text in templates]
+    counts = [Counter({t: n for t, n in c.items() if t not in EVERYDAY}) for c in counts]
     df = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(df.items())}
     weights, anchors = [], set()
@@ -53,12 +57,12 @@ def weigh(templates: list[tuple[str, str]], threshold: float) -> tuple[dict[str,
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         unit = sorted(((n * idf[t] / norm, t) for t, n in c.items()), reverse=True)
         weights += [(name, i, t, w) for w, t in unit]
-        rest = 1.0
-        for w, t in unit:
-            if math.sqrt(max(rest, 0)) < threshold - 1e-9:
-                break
-            anchors.add(t)
-            rest -= w * w
+        passed = 0.0
+        for w, t in sorted(unit):
+            passed += w * w
+            if math.sqrt(passed) >= threshold - 1e-9:
+                anchors.add(t)
+                passed -= w * w
     return idf, math.log(1 + len(templates)) + 1, weights, sorted(anchors)
 
 
@@ -77,8 +81,9 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]], threshold:
     low = files.select("path", lower_ascii(F.coalesce("text", F.lit(""))).alias("low")).where(_has(F.col("low"), anchors))
     pieces = F.array_distinct(F.concat(F.array("low"), F.split("low", r"\n\s*\n"), F.split("low", r"\n")))
     units = low.select("path", F.length("low").alias("size"), F.explode(F.filter(pieces, lambda p: _has(p, anchors))).alias("unit"))
-    units = units.withColumn("digest", F.sha2(F.col("unit").cast("binary"), 256))
+    units = staged(units.withColumn("digest", F.sha2(F.col("unit").cast("binary"), 256)))
     terms = units.groupBy("digest", "unit").agg(F.lit(1)).select("digest", F.explode(F.expr(f"regexp_extract_all(unit, '{TERM}', 0)")).alias("term"))
+    terms = terms.where(~F.col("term").isin(EVERYDAY))
     idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
     known = spark.createDataFrame([(n, i, t, w) for n, i, t, w in weights], "license string, template int, term string, weight double")
     tf = terms.groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(idfs), "term", "left")
@@ -106,7 +111,7 @@ def scan_licenses(
     """
     files = files.select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text"))
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
-    own = own_licenses(files.where("path IS NOT NULL"), templates, threshold)
+    own = staged(own_licenses(files.where("path IS NOT NULL"), templates, threshold))
     given = own.where((F.col("share") >= FILE_SHARE) | F.col("path").rlike(FILE_NAME)).withColumn("dir", folder)
     given = given.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("g"))
     given = given.select("dir", F.col("g.license").alias("d_license"), (-F.col("g.s")).alias("d_score"))
@@ -155,7 +160,7 @@ units AS (SELECT path, length(low) AS size, unnest(list_distinct([low] || regexp
   FROM marked),
 kept AS (SELECT * FROM units WHERE {has.format("unit")}),
 terms AS (SELECT unit, unnest(regexp_extract_all(unit, '{TERM}')) AS term FROM (SELECT DISTINCT unit FROM kept)),
-tf AS (SELECT unit, term, count(*) AS n FROM terms GROUP BY ALL),
+tf AS (SELECT unit, term, count(*) AS n FROM terms WHERE term NOT IN {tuple(EVERYDAY)} GROUP BY ALL),
 w AS (SELECT unit, term, n * coalesce((SELECT any_value(idf) FROM known k WHERE k.term = tf.term), {rare!r}::DOUBLE) AS w FROM tf),
 norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY unit),
 scored AS (SELECT unit, license, round(sum(w * weight) / any_value(norm), 6) AS score
