@@ -292,7 +292,7 @@ def read_digests(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 cols = [pa.array(keys, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crc)]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "start", "n_tokens", "ids_crc32"])
 
-    files = _with_base(manifest).repartition("path")
+    files = _with_base(manifest).repartition(max(manifest.count(), 1), "path")
     return files.mapInArrow(read, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -310,7 +310,7 @@ def read_ids(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([base + at]), ids], names=[key, "start", "ids"])
                     at += int(n)
 
-    files = _with_base(manifest).repartition("path")
+    files = _with_base(manifest).repartition(max(manifest.count(), 1), "path")
     return files.mapInArrow(read, f"`{key}` bigint, start bigint, ids array<bigint>")
 
 

@@ -221,7 +221,7 @@ def read_warc(manifest: DataFrame, key: str = "page_id", payloads: bool = True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
     names = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
-    return manifest.select("path").repartition("path").mapInArrow(read, ", ".join(f"`{n}` {names[t]}" for n, t in kinds))
+    return manifest.select("path").repartition(max(manifest.count(), 1), "path").mapInArrow(read, ", ".join(f"`{n}` {names[t]}" for n, t in kinds))
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
