@@ -81,14 +81,23 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]], threshold:
     low = files.select("path", lower_ascii(F.coalesce("text", F.lit(""))).alias("low")).where(_has(F.col("low"), anchors))
     pieces = F.array_distinct(F.concat(F.array("low"), F.split("low", r"\n\s*\n"), F.split("low", r"\n")))
     units = low.select("path", F.length("low").alias("size"), F.explode(F.filter(pieces, lambda p: _has(p, anchors))).alias("unit"))
-    units = staged(units.withColumn("digest", F.sha2(F.col("unit").cast("binary"), 256)))
-    terms = units.groupBy("digest", "unit").agg(F.lit(1)).select("digest", F.explode(F.expr(f"regexp_extract_all(unit, '{TERM}', 0)")).alias("term"))
-    terms = terms.where(~F.col("term").isin(EVERYDAY))
+    units = staged(units.withColumn("digest", F.unhex(F.sha2(F.col("unit").cast("binary"), 256))))
+    words = F.expr(f"regexp_extract_all(unit, '{TERM}', 0)")
+    bags = units.groupBy("digest", "unit").agg(F.lit(1)).select("digest", words.alias("terms"))
+    # Terms of no template only matter to the norm: the squares of their counts are summed inside the row, along the
+    # sorted terms (a run of n adds 1 + 3 + ... = n * n). Only terms of templates leave the row.
+    inside = ", ".join(f"'{t}'" for t in [*idf, *EVERYDAY])
+    others = f"array_sort(filter(terms, t -> t NOT IN ({inside})))"
+    run = "if(x = a.p, a.r + 1L, 1L)"
+    squares = f"aggregate({others}, named_struct('p', '', 'r', 0L, 't', 0L), (a, x) -> named_struct('p', x, 'r', {run}, 't', a.t + 2L * {run} - 1L), a -> a.t)"
+    shared = "filter(terms, t -> t IN ({}))".format(", ".join(f"'{t}'" for t in idf))
+    bags = staged(bags.select("digest", F.expr(squares).alias("squares"), F.expr(shared).alias("shared")))
     idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
     known = spark.createDataFrame([(n, i, t, w) for n, i, t, w in weights], "license string, template int, term string, weight double")
-    tf = terms.groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(idfs), "term", "left")
-    tf = tf.select("digest", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w"))
-    norms = tf.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    tf = bags.select("digest", F.explode("shared").alias("term")).groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.join(F.broadcast(idfs), "term").select("digest", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = tf.groupBy("digest").agg(F.sum(F.col("w") * F.col("w")).alias("known")).join(bags.select("digest", "squares"), "digest")
+    norms = norms.select("digest", F.sqrt(F.col("known") + F.col("squares") * (rare * rare)).alias("norm"))
     dots = tf.join(F.broadcast(known), "term").groupBy("digest", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "digest").select("digest", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     scored = scored.where(F.col("score") >= threshold)
