@@ -20,13 +20,16 @@ from pitchframe.schemas import (
 )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, prose: bool = False) -> DataFrame:
     """A CSV family with header, all columns text, plus `rid`: the place a row was read from.
 
+    A doubled quote inside quotes is a quote. `prose` families may break lines inside quotes, so their files are not
+    split; the others stay splittable. A file whose header differs from the first one's stops the read.
+
     rid orders by file, then block, then line; it does not depend on which task read the block.
     """
     try:
-        df = spark.read.csv(path, header=True, mode="FAILFAST", multiLine=False)
+        df = spark.read.csv(path, header=True, mode="FAILFAST", multiLine=prose, quote='"', escape='"', enforceSchema=False)
     except AnalysisException as e:
         raise FileNotFoundError(f"cannot read {path}: {e.getCondition()}") from e
     at = F.struct(
@@ -157,17 +160,17 @@ def shape_roster(df: DataFrame) -> DataFrame:
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    return shape_roster(read_csv(spark, path))
+    return shape_roster(read_csv(spark, path, prose=True))
 
 
 def shape_labels(df: DataFrame, label_col: str = "label", order: str = "rid") -> DataFrame:
-    """(id, label) as text, the last row of an id winning."""
-    rows = df.select(F.col("id").cast("string").alias("id"), F.col(label_col).cast("string").alias("label"), order)
+    """(id, label) as text, the last row of an id winning. A blank label is a label, the empty text."""
+    rows = df.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col(label_col).cast("string"), F.lit("")).alias("label"), order)
     return last_wins(rows, ["id"], order).select("id", "label")
 
 
 def read_labels(spark: SparkSession, path: str, label_col: str = "label") -> DataFrame:
-    return shape_labels(read_csv(spark, path), label_col)
+    return shape_labels(read_csv(spark, path, prose=True), label_col)
 
 
 def shape_supervision(df: DataFrame) -> DataFrame:
@@ -177,7 +180,7 @@ def shape_supervision(df: DataFrame) -> DataFrame:
 
 
 def read_supervision(spark: SparkSession, path: str) -> DataFrame:
-    return require_rows(shape_supervision(read_csv(spark, path)), "no usable rows: need id, prompt and target")
+    return require_rows(shape_supervision(read_csv(spark, path, prose=True)), "no usable rows: need id, prompt and target")
 
 
 def shape_manifest(df: DataFrame, slots: int = SLOTS) -> DataFrame:

@@ -155,3 +155,13 @@ def test_enriched_tracking(spark, rows):
 def test_profile(spark, rows):
     got = rows(R.table_profile("t", tracking(spark)), "ordinal", "column_name", "column_type", "n_rows")
     assert got[1] == (1, "game_id", "bigint", 20) and len(got) == 7
+
+
+def test_csv_quotes_breaks_and_headers(spark, tmp_path):
+    from pitchframe.sources.tables import read_labels, read_supervision
+
+    (tmp_path / "s.csv").write_text('id,prompt,target\n7,"say ""hi"", now","two\nlines"\n')
+    got = read_supervision(spark, str(tmp_path / "s.csv")).collect()
+    assert [(r.id, r.prompt, r.target) for r in got] == [("7", 'say "hi", now', "two\nlines")]
+    (tmp_path / "l.csv").write_text("id,label\n1,a\n2,\n")
+    assert sorted(tuple(r) for r in read_labels(spark, str(tmp_path / "l.csv")).collect()) == [("1", "a"), ("2", "")]
