@@ -23,6 +23,11 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one, `_row`, so that names of working columns can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z become a-z, all else stays. A text of one byte for each character may take the faster lower()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

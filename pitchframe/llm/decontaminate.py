@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import table, text_batches, text_key
+from pitchframe.llm.common import table, text_batches, text_key, whole_row
 from pitchframe.plans.session import staged, tune
 
 # Words of a seed, which is also the shortest tile; share of a test item's words that tiles must cover.
@@ -263,8 +263,8 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of `docs` that cover no benchmark item, with all their columns."""
     bad = staged(find_contamination(docs, bench).select(F.col("digest").alias("_digest")).distinct())
-    marked = docs.withColumn("_digest", text_key(F.coalesce("text", F.lit(""))))
-    return marked.join(bad, "_digest", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(whole_row(docs), text_key(F.coalesce("text", F.lit(""))).alias("_digest"))
+    return marked.join(bad, "_digest", "left_anti").select("_row.*")
 
 
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

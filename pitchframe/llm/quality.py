@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import table, text_batches, text_key, total_bytes
+from pitchframe.llm.common import table, text_batches, text_key, total_bytes, whole_row
 from pitchframe.plans.session import staged, tune
 
 ORDER = 4
@@ -304,8 +304,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier keeps, with all their columns."""
     judged = classify_quality(docs, trusted_keys(labels))
     bad = judged.where(~F.col("kept")).select(F.col("lang").alias("_lang"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_digest", text_key(F.coalesce("text", F.lit(""))))
-    return marked.join(staged(bad), ["_lang", "_digest"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(whole_row(docs), F.coalesce("lang", F.lit("")).alias("_lang"), text_key(F.coalesce("text", F.lit(""))).alias("_digest"))
+    return marked.join(staged(bad), ["_lang", "_digest"], "left_anti").select("_row.*")
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:

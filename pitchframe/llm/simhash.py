@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import table, text_batches, text_key
+from pitchframe.llm.common import table, text_batches, text_key, whole_row
 from pitchframe.plans.ranking import position_by_sort
 from pitchframe.plans.session import staged, tune
 
@@ -248,13 +248,13 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     kept = one.select("key", "s.digest", ((F.col("s.n") > 1) | (F.col("texts") > 1)).alias("again"))
     none = stays.where("key IS NULL").select("key", "digest", (F.col("n") > 1).alias("again"))
     kept = staged(kept.unionByName(none))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("_digest", text_key(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn("_key", F.col(f"`{key}`").cast("bigint"))
+    digest = text_key(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    marked = docs.select(whole_row(docs), digest.alias("_digest"), F.col(f"`{key}`").cast("bigint").alias("_key"))
     kept = kept.select(F.col("key").alias("_kept"), F.col("digest").alias("_of"), F.col("again").alias("_again"))
     found = marked.join(kept, F.col("_key").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_of")))
     # Few rows repeat a key, so only they are compared.
     single, again = found.where("NOT _again"), found.where("_again").dropDuplicates(["_key", "_digest"])
-    return single.select(*columns).unionByName(again.select(*columns))
+    return single.select("_row.*").union(again.select("_row.*"))
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:

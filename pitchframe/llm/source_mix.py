@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import table
+from pitchframe.llm.common import table, whole_row
 from pitchframe.plans.session import staged, tune
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,9 +28,10 @@ def _hash(*parts) -> Column:
 
 
 def _sized(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """`df` with reserved columns: _s (the source as a key that is never NULL), _size (words), _h (hash of the id)."""
-    named = df.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("~")))
-    return named.withColumn("_size", word_count(F.col(f"`{text}`"))).withColumn("_id", F.col(f"`{key}`")).withColumn("_h", _hash("_id"))
+    """_row (all of a row), _id, _s (the source as a key that is never NULL), _size (words), _h (hash of the id)."""
+    name = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("~"))
+    rows = df.select(whole_row(df), F.col(f"`{key}`").alias("_id"), name.alias("_s"), word_count(F.col(f"`{text}`")).alias("_size"))
+    return rows.withColumn("_h", _hash("_id"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -133,6 +134,7 @@ def mix_plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed rows: all columns of `df`, a row for each time the mix takes it, with _shard and _place last.
+    Columns of these two names are replaced.
 
     Rows of a shard go to one partition, in hash order. NULL texts have no words. NULL is a source of its own, after
     all others. Rows with equal ids share a hash, so they are taken or left together. Reruns give the same rows. An
@@ -142,7 +144,8 @@ def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text
     sources, draws = mix_plan(rows.select("_s", "_size", "_h"))
     placed = rows.join(sources.select("_s", "n_blocks"), "_s").withColumn("_block", _block()).join(draws, ["_s", "_block"])
     placed = placed.where("_size > 0 AND (cut_h IS NULL OR _h <= cut_h)")
-    placed = placed.select(*[F.col(f"`{c}`") for c in df.columns], F.col("shard").alias("_shard"), _hash("_h", "epoch", "shard").alias("_place"))
+    own = [F.col(f"_row.`{c}`") for c in df.columns if c not in ("_shard", "_place")]
+    placed = placed.select(*own, F.col("shard").alias("_shard"), _hash("_h", "epoch", "shard").alias("_place"))
     return placed.repartition("_shard").sortWithinPartitions("_shard", "_place")
 
 
