@@ -32,7 +32,10 @@ def export_attacks(
 
 
 def stored_slab(tensor: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(slab, entities, lengths) from stored tensor and meta rows of attacks with the expected shape."""
+    """(slab, entities, lengths) from stored tensor and meta rows of attacks with the expected shape.
+
+    The slab has every slot that was seen; `entities` those whose id is known.
+    """
     meta = meta.filter(F.col("tensor_shape_0") == P.SLOTS)
     entities = meta.select(*ATTACK, F.posexplode("entities").alias("entity_idx", "entity_id"))
     entities = entities.filter(F.col("entity_id").isNotNull()).withColumns(
@@ -44,8 +47,8 @@ def stored_slab(tensor: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFram
     slots = entities.select(*ATTACK, "entity_idx", "is_ball")
     ball = seen.join(slots.filter("is_ball").drop("is_ball"), [*ATTACK, "entity_idx"])
     ball = ball.select(*ATTACK, "frame_idx", F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
-    slab = seen.join(slots, [*ATTACK, "entity_idx"]).join(lengths, ATTACK).join(ball, [*ATTACK, "frame_idx"], "left")
-    return slab, entities, lengths
+    slab = seen.join(lengths, ATTACK).join(slots, [*ATTACK, "entity_idx"], "left").join(ball, [*ATTACK, "frame_idx"], "left")
+    return slab.withColumn("is_ball", F.coalesce("is_ball", F.lit(False))), entities, lengths
 
 
 def build_player_vectors(

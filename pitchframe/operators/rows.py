@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchframe.plans.ranking import hash_text, position_by_long
+from pyspark.sql.types import IntegralType, StructType
+
+from pitchframe.plans.ranking import hash_text, position_by_long, position_by_sort
 from pitchframe.schemas import ATTACK
 
 
@@ -19,9 +21,15 @@ def row_and_batch_count(df: DataFrame, batch_size: int = 32) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_batches", F.ceil(F.col("n_rows") / batch_size))
 
 
+def _placed(df: DataFrame, key: str) -> DataFrame:
+    """`df` with its row numbers in key order as _pos; they do not depend on how a file was split."""
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    return position_by_long(df, key, "_pos") if whole else position_by_sort(df, [key], "_pos")
+
+
 def batch_id(df: DataFrame, key: str = "rid", batch_size: int = 32, name: str = "batch_id") -> DataFrame:
-    """Page number of each row in the order of a unique whole-number key."""
-    placed = position_by_long(df, key, "_pos")
+    """Page number of each row in the order of a unique key, a whole number or the place a row was read from."""
+    placed = _placed(df, key)
     return placed.withColumn(name, F.floor(F.col("_pos") / batch_size)).drop("_pos")
 
 
@@ -31,9 +39,14 @@ def page(df: DataFrame, index: int, key: str = "rid", batch_size: int = 32) -> D
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """`n` distinct rows in a reproducible random choice; asking for more rows than there are is an error."""
+    """`n` distinct rows in a reproducible random choice; asking for more rows than there are is an error.
+
+    The place a row was read from holds the number of the split, so such a key counts by its row number.
+    """
     if df.select(*keys).limit(n).count() < n:
         raise ValueError(f"sample of {n} rows is larger than the table")
+    if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, StructType):
+        return sample_rows(_placed(df, keys[0]), n, ["_pos"], seed).drop("_pos")
     return df.withColumn("_h", hash_text(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
 
 

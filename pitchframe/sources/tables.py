@@ -73,7 +73,9 @@ def _shape(df: DataFrame, names: dict[str, str], types: dict[str, str]) -> DataF
 
 
 def shape_tracking(df: DataFrame) -> DataFrame:
-    return _shape(df, TRACKING_NAMES, TRACKING_TYPES)
+    """Tracking rows; a coordinate that is no number (NaN) was not seen and becomes NULL."""
+    shaped = _shape(df, TRACKING_NAMES, TRACKING_TYPES)
+    return shaped.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y")})
 
 
 def shape_play(df: DataFrame) -> DataFrame:

@@ -84,3 +84,39 @@ def test_batches(spark, rows):
         jobs.attack_batch(t, p, 1, 77)
     assert jobs.tracking_batch(t, p, r, 0, 4).select("rid").distinct().count() == 4
     assert jobs.tracking_batch(t, p, r, size=5).select("rid").distinct().count() == 5
+
+
+def test_batches_of_a_read_table_do_not_depend_on_splits(spark, tmp_path):
+    for game in (1, 2):
+        lines = [f"{game},{100 + f},1,{f % 5},{f}.5,{'NaN' if f == 3 else f}" for f in range(60)]
+        write(tmp_path / str(game) / "tracking.csv", "GameID,Frame,HA,No,X,Y\n" + "\n".join(lines) + "\n")
+    was, told = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    p, r = play(spark), players(spark)
+    try:
+        for size in ("150b", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            t = T.shape_tracking(T.read_csv(spark, f"{tmp_path}/*/tracking.csv"))
+            parts = t.rdd.getNumPartitions()
+            pages = [[(x.game_id, x.frame) for x in jobs.tracking_batch(t, p, r, i, 50).orderBy("rid").collect()] for i in range(3)]
+            chosen = {(x.game_id, x.frame) for x in jobs.tracking_batch(t, p, r, size=7).collect()}
+            told.append((pages, chosen))
+            assert t.where("y IS NULL").count() == 2 and t.where("isnan(y)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert told[0] == told[1] and len(told[0][1]) == 7 and parts < 20
+    assert [x for page in told[0][0] for x in page] == [(g, 100 + f) for g in (1, 2) for f in range(60)]
+
+
+def test_stored_slab_keeps_players_without_an_id(spark, season):
+    """One shirt is missing from players.csv: its slot keeps its path, with player code 0."""
+    for game in (1, 2):
+        at = season / str(game) / "players.csv"
+        at.write_text("".join(line for line in at.read_text().splitlines(keepends=True) if ",102," not in line))
+    out = str(season / "stored")
+    jobs.export_attacks(spark, *[f"{season}/*/{n}.csv" for n in ("tracking", "play", "players")], out)
+    tensor, meta = (ST.read_part(spark, out, p) for p in ("tensor", "meta"))
+    seen = {tuple(r) for r in tensor.where("x IS NOT NULL").select("game_id", "attack_no", "entity_idx").distinct().collect()}
+    patches = jobs.training_patches(tensor, meta, window=20).collect()
+    assert {(r.game_id, r.attack_no, r.entity_idx) for r in patches if any(r.xs)} == seen
+    unknown = {(r.game_id, r.attack_no, i) for r in meta.collect() for i, e in enumerate(r.entities) if e is None} & seen
+    assert len(unknown) == 4 and all(r.player_code == 0 for r in patches if (r.game_id, r.attack_no, r.entity_idx) in unknown)
