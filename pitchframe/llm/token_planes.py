@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,9 @@ CHUNK_IDS = 1 << 16
 # A file is closed after so many ids, a task gets about so many bytes of text.
 FILE_IDS, TASK_BYTES = 1 << 26, 64 << 20
 END_ID = 0
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
+# A Latin word, with the space before it, and ASCII marks up to the end of the piece.
+WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]+)")
 
 
 # ---- encoding
@@ -34,27 +39,57 @@ CACHED_PIECES = 300_000
 class Encoder:
     """Ids of whole texts by a tokenizers file, with the ids of pieces met before kept.
 
-    Byte-level BPE never joins what stands before a single space to what follows, so a text may be cut there. Pieces
-    repeat, so most are looked up. `fast` cuts at every space of texts that hold no two white-space characters in a
-    row; other texts are cut only at spaces between two characters that are not white space.
+    Byte-level BPE never joins what stands before a single space to what follows, nor letters to the punctuation after
+    them, so a text may be cut there. Pieces repeat, so most are looked up. `fast` cuts at every space of texts that
+    hold no two white-space characters in a row; other texts are cut only at spaces between two characters that are
+    not white space.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
 
-    def pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def forget(self) -> None:
+        """Known pieces are numbered; the ids of number k are flat[ends[k] : ends[k + 1]]."""
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def _keep(self, piece: str, ids) -> None:
+        self.known[piece] = len(self.known)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def _ids(self, piece: str) -> array:
+        k = self.known[piece]
+        return self.flat[self.ends[k] : self.ends[k + 1]]
+
+    def pieces(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece."""
         missing = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(missing) > CACHED_PIECES:
-            self.known.clear()
+        if len(self.known) + 2 * len(missing) > CACHED_PIECES:
+            self.forget()
             missing = list(dict.fromkeys(pieces))
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
+        ends = {p: m.groups() for p in missing if (m := WORD_AND_MARKS.fullmatch(p))}
+        new = dict.fromkeys([p for p in missing if p not in ends] + [part for pair in ends.values() for part in pair])
+        new = [p for p in new if p not in self.known]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[p] for p in pieces]
+                self._keep(piece, e.ids)
+        for piece, (word, marks) in ends.items():
+            self._keep(piece, self._ids(word) + self._ids(marks))
+        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered pieces one after another, and how many each has."""
+        # Copies: an array that lends its memory can't grow.
+        ends, flat = np.array(self.ends, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
+        start = ends[numbers]
+        lengths = ends[numbers + 1] - start
+        before = np.cumsum(lengths) - lengths
+        return flat[np.arange(int(lengths.sum())) + np.repeat(start - before, lengths)], lengths
 
     def fast(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(texts, " ")
@@ -67,20 +102,12 @@ class Encoder:
         place = np.zeros(len(names), dtype=np.int64)
         place[starters] = np.arange(len(starters)) + len(names)
         codes[first] = place[codes[first]]
-        ids = self.pieces([f" {n}" for n in names]) + self.pieces([names[s] for s in starters])
-        size = np.array([len(i) for i in ids], dtype=np.int64)
-        start = np.cumsum(size) - size
-        lengths = size[codes]
-        total = np.cumsum(lengths)
-        flat = np.concatenate(ids)
-        out = flat[np.arange(total[-1]) + np.repeat(start[codes] - (total - lengths), lengths)]
-        counts = np.add.reduceat(lengths, first)
-        return out, counts
+        numbers = self.pieces([f" {n}" for n in names] + [names[s] for s in starters])
+        out, lengths = self.gather(numbers[codes])
+        return out, np.add.reduceat(lengths, first)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text."""
-        import re
-
         double = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
         slow = pc.match_substring_regex(texts, double).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -92,7 +119,7 @@ class Encoder:
         for i in np.flatnonzero(slow):
             # The space stays with the piece that follows it.
             parts = re.split(r"(?<=\S)(?= \S)", texts[i].as_py())
-            out[i] = np.concatenate(self.pieces(parts))
+            out[i], _ = self.gather(self.pieces(parts))
         return out
 
 
@@ -101,6 +128,8 @@ ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file, so that its pieces serve all tasks of the worker."""
+    # A task has one core: threads of the library would take those of other tasks.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in ENCODERS:
         ENCODERS[path] = Encoder(path)
     return ENCODERS[path]
