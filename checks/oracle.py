@@ -174,12 +174,15 @@ sup AS (
 SOME_LABELS = "(SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality AS VARCHAR) AS label FROM labels)"
 
 
-def knn(metric: str = "cosine", width: int = 64) -> str:
-    cut = f"vec[1:{width}]"
+SPACES = {"style": "vec", "baseline_p": "list_transform(vec, lambda x, i: x * ((i - 1) % 3 + 1))"}
+
+
+def knn(metric: str = "cosine", space: str = "style") -> str:
+    vec = SPACES[space]
     if metric == "cosine":
-        prepared, dist = unit(cut), "1-list_dot_product(a.v, b.v)"
+        prepared, dist = unit(vec), "1-list_dot_product(a.v, b.v)"
     else:
-        prepared, dist = cut, "list_distance(a.v, b.v)"
+        prepared, dist = vec, "list_distance(a.v, b.v)"
     return (
         VECTORS
         + f""",
@@ -313,7 +316,7 @@ def _sql() -> dict[str, str]:
         "SELECT question_id, CASE WHEN exact_id IS NOT NULL THEN CAST(exact_id AS VARCHAR) WHEN n=1 THEN part_id END AS player_id, "
         "CAST(CASE WHEN exact_id IS NOT NULL THEN 1 WHEN n=1 THEN 2 END AS BIGINT) AS stage FROM hits",
         "knn_pairs": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
-        "knn_pairs_euclidean": f"WITH {knn('euclidean', 32)} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
+        "knn_pairs_euclidean": f"WITH {knn('euclidean')} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
         "batch_similarity": f"WITH {PLACED}{NCE} SELECT batch_id, k AS vec_id, CAST(pos AS BIGINT) AS pos, round(sim, 6)+0.0e0 AS sim FROM sims",
         "supervision_with_vectors": f"WITH {VECTORS}, {SUPERVISION} SELECT s.id, s.prompt, s.target, CAST(256 AS BIGINT) AS width, "
         f"round({unit('v.vec')}[6], 6)+0.0e0 AS sixth FROM sup s JOIN vecs v ON v.vec_id=s.conv_id WHERE s.prompt<>'' AND s.target<>''",
@@ -405,7 +408,7 @@ def _sql() -> dict[str, str]:
         "feather_sink": base
         + f"SELECT rid, game_id, frame, CAST(ha AS BIGINT) AS ha, CAST(no AS BIGINT) AS no, {r2}, round(y, 6) AS y FROM tracking",
         "clean_row_text": f"WITH {SUPERVISION} SELECT id, turn, coalesce(prompt, '') AS prompt, coalesce(target, '') AS target FROM sup",
-        "l2_normalise": vec + explode("id", "u", f"(SELECT id, {unit('vec[1:32]')} AS u FROM vecs)"),
+        "l2_normalise": vec + explode("id", "u", f"(SELECT id, {unit('vec')} AS u FROM vecs)"),
         "fit_width": vec
         + explode("id", "u", "(SELECT id, list_concat(vec, list_transform(range(0, 16), lambda i: 0.0e0)) AS u FROM vecs)"),
         "window_features": win + explode(f"{ATT}, window_id, entity_idx, entity_id, n_observed", "vec", "features"),
@@ -444,9 +447,9 @@ SELECT a.split, round(d, 6) AS loss_delta, round(c, 6) AS loss_infonce, round(d+
 
 def _metrics() -> str:
     parts = []
-    for space, width in (("style", 64), ("baseline_p", 32)):
-        parts.append(f"SELECT '{space}' AS space, 'neighbor_purity' AS metric, neighbor_purity AS value FROM (WITH {knn(width=width)} {PURITY})")
-        parts.append(f"SELECT '{space}', 'silhouette', silhouette FROM (WITH {knn(width=width)} {SILHOUETTE})")
+    for space in SPACES:
+        parts.append(f"SELECT '{space}' AS space, 'neighbor_purity' AS metric, neighbor_purity AS value FROM (WITH {knn(space=space)} {PURITY})")
+        parts.append(f"SELECT '{space}', 'silhouette', silhouette FROM (WITH {knn(space=space)} {SILHOUETTE})")
     return " UNION ALL ".join(parts)
 
 

@@ -175,11 +175,13 @@ def feather_sink(spark, sf):
 
 def _wide(spark, sf):
     """Vectors as text columns, those near zero left blank."""
+    vectors = S.vectors(spark, sf)
+    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
     cells = [
-        F.when(F.abs(F.col("vec")[i]) >= 0.005, F.col("vec")[i].cast("string")).otherwise("").alias(f"p{i}")
-        for i in range(64)
+        F.when(F.abs(F.get("vec", F.lit(i))) >= 0.005, F.get("vec", F.lit(i)).cast("string")).otherwise("").alias(f"p{i}")
+        for i in range(width)
     ]
-    return S.vectors(spark, sf).select("id", *cells)
+    return vectors.select("id", *cells)
 
 
 @query
@@ -342,8 +344,14 @@ def resolve_player(spark, sf):
     return LK.resolve_player(S.questions(spark, sf), roster).select("question_id", "player_id", *big("stage"))
 
 
-def _labelled(spark, sf, width=None):
-    return EV.labelled_vectors(S.vectors(spark, sf, width), S.labels(spark, sf))
+def _labelled(spark, sf, space="style"):
+    return EV.labelled_vectors(_spaces(spark, sf)[space], S.labels(spark, sf))
+
+
+def _spaces(spark, sf):
+    """The given vectors, and a second space that weighs their numbers by position."""
+    vectors = S.vectors(spark, sf)
+    return {"style": vectors, "baseline_p": vectors.withColumn("vec", F.transform("vec", lambda x, i: x * (i % 3 + 1)))}
 
 
 @query
@@ -354,7 +362,7 @@ def knn_pairs(spark, sf):
 
 @query
 def knn_pairs_euclidean(spark, sf):
-    pairs = NB.knn_pairs(_labelled(spark, sf, 32), 10, "euclidean", chunk_rows=256, rows_per_pivot=64)
+    pairs = NB.knn_pairs(_labelled(spark, sf), 10, "euclidean", chunk_rows=256)
     return pairs.select("id", "rank", "neighbour", r6("distance").alias("distance"))
 
 
@@ -708,7 +716,7 @@ def clean_row_text(spark, sf):
 
 @query
 def l2_normalise(spark, sf):
-    return long_vec(S.vectors(spark, sf, 32).withColumn("vec", AR.l2_normalise("vec")), "id")
+    return long_vec(S.vectors(spark, sf).withColumn("vec", AR.l2_normalise("vec")), "id")
 
 
 @query
@@ -753,8 +761,8 @@ def kmeans_labels(spark, sf):
 
 def _purity_report(spark, sf):
     out = None
-    for space, width in (("style", None), ("baseline_p", 32)):
-        both = _labelled(spark, sf, width)
+    for space in ("style", "baseline_p"):
+        both = staged(_labelled(spark, sf, space))
         parts = {"neighbor_purity": NB.neighbour_purity(NB.knn_pairs(both, 10)), "silhouette": EV.silhouette(both)}
         for name, value in parts.items():
             one = value.select(F.lit(space).alias("space"), F.lit(name).alias("metric"), F.col(name).alias("value"))
@@ -764,8 +772,7 @@ def _purity_report(spark, sf):
 
 @query
 def space_report(spark, sf):
-    spaces = {"style": S.vectors(spark, sf), "baseline_p": S.vectors(spark, sf, 32)}
-    return rounded(EV.compare_spaces(spaces, S.labels(spark, sf)), "value")
+    return rounded(EV.compare_spaces(_spaces(spark, sf), S.labels(spark, sf)), "value")
 
 
 @query

@@ -78,9 +78,8 @@ def players(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf: str, width: int | None = None) -> DataFrame:
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
     vec = F.col("embedding").cast("array<double>")
-    vec = F.slice(vec, 1, width) if width else vec
     return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), vec.alias("vec"))
 
 

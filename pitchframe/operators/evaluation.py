@@ -17,6 +17,7 @@ from pitchframe.operators.rows import require_rows
 from pitchframe.operators.vectors import mean_vectors
 from pitchframe.plans.blocks import CHUNK_ROWS, chunk_pairs
 from pitchframe.plans.ranking import position_by_sort
+from pitchframe.plans.session import staged
 
 RESTARTS = 10
 SEED = 42
@@ -144,7 +145,7 @@ def nmi(df: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFr
 
 def space_report(vectors: DataFrame, labels: DataFrame, space: str, metric: str = "cosine", k: int = 10) -> DataFrame:
     """(space, metric, value) for purity, silhouette and mutual information of one vector space."""
-    both = require_rows(labelled_vectors(vectors, labels), "no overlapping ids between vectors and labels")
+    both = staged(require_rows(labelled_vectors(vectors, labels), "no overlapping ids between vectors and labels"))
     results = [neighbour_purity(knn_pairs(both, k, metric)), silhouette(both, metric), nmi(kmeans_labels(both))]
     rows = [r.select(F.lit(r.columns[0]).alias("metric"), F.col(r.columns[0]).alias("value")) for r in results]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(F.lit(space).alias("space"), "metric", "value")

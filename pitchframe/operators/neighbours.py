@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.functions.arrays import l2_normalise, norm
 from pitchframe.plans.blocks import CHUNK_ROWS, chunk_pairs
-from pitchframe.plans.ranking import hash_text
 from pitchframe.plans.session import staged
 
-# Reference points that cut the space into cells; their number bounds what the driver and a task hold.
-MAX_PIVOTS = 1024
-ROWS_PER_PIVOT = 2048
 METRICS = ("cosine", "euclidean")
 
 
@@ -31,56 +24,6 @@ def _space(vec: Column, metric: str) -> Column:
     return F.concat(l2_normalise(vec), F.array(F.when(zero, 1.0).otherwise(0.0)))
 
 
-def _nearest_pivot(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the cell (nearest pivot) of each point and the distance to it."""
-
-    def assign(batches):
-        import numpy as np
-
-        for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy())
-            d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * v @ pivots.T, 0))
-            cell = d.argmin(1)
-            yield pdf.assign(cell=cell.astype("int32"), d=d[np.arange(len(v)), cell])
-
-    return points.mapInPandas(assign, "id string, v array<double>, cell int, d double")
-
-
-def _reach(celled: DataFrame, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell its radius, and a distance within which all its points have k others (infinite if too few).
-
-    What comes to the driver is bounded by the pivots: one radius and the k+1 innermost distances of each.
-    """
-    radius = np.zeros(len(pivots))
-    for r in celled.groupBy("cell").agg(F.max("d").alias("r")).collect():
-        radius[r["cell"]] = r["r"]
-    inner = Window.partitionBy("cell").orderBy("d", "id")
-    first = celled.select("cell", "d", "id").withColumn("i", F.row_number().over(inner)).filter(F.col("i") <= k + 1)
-    near = [(r["cell"], r["d"]) for r in first.collect()]
-    limit = np.full(len(pivots), math.inf)
-    if len(near) > k:
-        cells, dists = np.array([c for c, _ in near]), np.array([d for _, d in near])
-        for i, p in enumerate(pivots):
-            apart = np.sqrt(((pivots - p) ** 2).sum(1))
-            limit[i] = radius[i] + np.partition(apart[cells] + dists, k)[k]
-    return radius, limit
-
-
-def _send(lenders: DataFrame, pivots: np.ndarray, radius: np.ndarray, limit: np.ndarray) -> DataFrame:
-    """Each possible neighbour once for each cell whose points it may be a neighbour of."""
-
-    def spread(batches):
-        import numpy as np
-
-        for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy())
-            d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * v @ pivots.T, 0))
-            row, cell = np.nonzero(d - radius <= limit + 1e-6)
-            yield pdf.iloc[row].assign(cell=cell.astype("int32"))
-
-    return lenders.mapInPandas(spread, "id string, label string, v array<double>, cell int")
-
-
 def _best_kernel(keep: int, metric: str):
     """The `keep` nearest base rows of each query row of a chunk pair; ties go to the shorter, then smaller id."""
 
@@ -127,38 +70,26 @@ def knn_pairs(
     k: int = 10,
     metric: str = "cosine",
     chunk_rows: int = CHUNK_ROWS,
-    rows_per_pivot: int = ROWS_PER_PIVOT,
 ) -> DataFrame:
     """The k nearest others of each vector: (id, label, rank, neighbour, neighbour_label, distance).
 
     `df` has a unique text `id`, `vec` and, if there is one, `label`. Exact; distances equal to 12 decimals tie and go
-    to the id first in (length, text) order. Equal vectors are searched once and lend k+1 of their ids at most, pivots
-    rule out regions that cannot hold a neighbour (triangle inequality), and what remains is compared chunk by chunk,
-    a chunk pair giving back k+1 rows for each vector only.
+    to the id first in (length, text) order. Equal vectors are searched once and lend k+1 of their ids at most. Distinct
+    vectors meet chunk against chunk, a chunk pair giving back k+1 rows for each vector only; the work is N x N
+    products of whole vectors, one plan at any size.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     label = F.col("label").cast("string") if "label" in df.columns else F.lit(None).cast("string")
     members = df.select("id", label.alias("label"), _space(F.col("vec"), metric).alias("v"))
     twins = Window.partitionBy("v").orderBy(F.length("id"), "id")
-    lenders = members.withColumn("t", F.row_number().over(twins)).filter(F.col("t") <= k + 1)
-    n_pivots = min(MAX_PIVOTS, df.count() // rows_per_pivot)
-    if n_pivots < 2:
-        points = located = lenders.filter("t = 1").select("id", "v")
-        base, cell = lenders.select("id", "label", "v"), []
-    else:
-        lenders = staged(lenders)
-        points = lenders.filter("t = 1").select("id", "v")
-        chosen = points.orderBy(hash_text(["id"], 7), "id").limit(n_pivots).collect()
-        pivots = np.array([r["v"] for r in chosen], dtype="float64")
-        located = staged(_nearest_pivot(points, pivots))
-        radius, limit = _reach(located, pivots, k)
-        cell = ["cell"]
-        base = _send(lenders.select("id", "label", "v"), pivots, radius, limit)
+    # Written once: it is counted twice and read on both sides.
+    lenders = staged(members.withColumn("t", F.row_number().over(twins)).filter(F.col("t") <= k + 1))
+    points = lenders.filter("t = 1").select("id", "v")
     best = chunk_pairs(
-        located.select("id", "v", *cell),
-        base,
-        cell,
+        points,
+        lenders.select("id", "label", "v"),
+        [],
         "id",
         _best_kernel(k + 1, metric),
         "id string, distance double, neighbour string, neighbour_label string",

@@ -39,7 +39,7 @@ def found(df, **options):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
-@pytest.mark.parametrize("options", [{}, {"chunk_rows": 30}, {"chunk_rows": 40, "rows_per_pivot": 20}])
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 30}])
 def test_neighbours_equal_brute_force(spark, metric, options):
     """Clusters, exact copies, zero vectors and scaled copies."""
     rng = np.random.default_rng(5)
