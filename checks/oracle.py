@@ -304,9 +304,9 @@ def _sql() -> dict[str, str]:
         "LEFT JOIN (SELECT game_id, ha, shirt_no, min(player_name) AS player_name FROM play GROUP BY 1,2,3) n "
         "ON n.game_id=t.game_id AND n.ha=t.ha AND n.shirt_no=t.no "
         "LEFT JOIN players p ON p.game_id=t.game_id AND p.ha=t.ha AND p.shirt_no=t.no AND p.player_name=n.player_name",
-        "labelled_vectors": vec + f"SELECT v.id, l.label, round(v.vec[1], 6) AS first FROM vecs v JOIN {SOME_LABELS} l ON l.id=v.id",
-        "lookup_vector": f"WITH {VECTORS}, {SUPERVISION} SELECT s.id, s.turn, v.id AS vector_id, round(v.vec[1], 6) AS first "
-        "FROM sup s JOIN vecs v ON v.vec_id=s.conv_id",
+        "labelled_vectors": vec + explode("id, label", "vec", f"(SELECT v.id, l.label, v.vec FROM vecs v JOIN {SOME_LABELS} l ON l.id=v.id)"),
+        "lookup_vector": f"WITH {VECTORS}, {SUPERVISION} "
+        + explode("id, turn, vector_id", "vec", "(SELECT s.id, s.turn, v.id AS vector_id, v.vec FROM sup s JOIN vecs v ON v.vec_id=s.conv_id)"),
         "resolve_player_exact": f"WITH {QUESTIONS}, r AS (SELECT CAST(c_custkey AS VARCHAR) AS id, lower(c_name) AS name, "
         "lower(n_name) AS team, lower(c_mktsegment)||'-'||c_custkey AS alt FROM customer JOIN nation ON c_nationkey=n_nationkey), "
         "hits AS (SELECT q.question_id, min(CAST(r.id AS BIGINT)) FILTER (r.name=lower(q.name) OR r.alt=lower(q.name)) AS exact_id, "
@@ -319,7 +319,7 @@ def _sql() -> dict[str, str]:
         "knn_pairs_euclidean": f"WITH {knn('euclidean')} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
         "batch_similarity": f"WITH {PLACED}{NCE} SELECT batch_id, k AS vec_id, CAST(pos AS BIGINT) AS pos, round(sim, 6)+0.0e0 AS sim FROM sims",
         "supervision_with_vectors": f"WITH {VECTORS}, {SUPERVISION} SELECT s.id, s.prompt, s.target, CAST(256 AS BIGINT) AS width, "
-        f"round({unit('v.vec')}[6], 6)+0.0e0 AS sixth FROM sup s JOIN vecs v ON v.vec_id=s.conv_id WHERE s.prompt<>'' AND s.target<>''",
+        f"round(list_sum(list_transform({unit('v.vec')}, lambda x, i: x * i)), 6)+0.0e0 AS weighted FROM sup s JOIN vecs v ON v.vec_id=s.conv_id WHERE s.prompt<>'' AND s.target<>''",
         "row_and_batch_count": "SELECT count(*) AS n_rows, CAST(ceil(count(*)/32.0e0) AS BIGINT) AS n_batches FROM events",
         "attack_count": base + "SELECT count(DISTINCT (attack_no, game_id)) AS attack_count FROM play WHERE attack_no>0",
         "attack_list": base + f"SELECT {ATT} FROM ranges",
@@ -340,7 +340,7 @@ def _sql() -> dict[str, str]:
         "WHERE entity_id<>'ball')) SELECT entity_id AS id, CAST(i AS BIGINT) AS pos, round(avg(u), 6)+0.0e0 AS value FROM flat GROUP BY 1,2",
         "masked_mse": patch
         + "SELECT round(sum(e*valid)/greatest(sum(valid), 1), 6) AS masked_mse FROM "
-        f"(SELECT {ATT}, entity_idx, valid, sum(value*value)/18 AS e FROM deltas GROUP BY 1,2,3,4)",
+        f"(SELECT {ATT}, entity_idx, valid, sum((value-(pos+1)*0.001e0)**2)/18 AS e FROM deltas GROUP BY 1,2,3,4)",
         "info_nce": f"WITH {PLACED}{NCE} SELECT round(avg(loss), 6) AS info_nce FROM losses",
         "neighbor_purity": f"WITH {knn()} {PURITY}",
         "nmi": vec
@@ -359,7 +359,7 @@ def _sql() -> dict[str, str]:
         "count_rank, CAST(truncated AS BIGINT) AS truncated FROM chosen",
         "entity_index": scene + f"SELECT {ATT}, entity_idx, CAST(ha AS BIGINT) AS ha, CAST(no AS BIGINT) AS no FROM grid",
         "frame_deltas": patch + f"SELECT {ATT}, entity_idx, valid, pos, round(value, 6)+0.0e0 AS value FROM deltas",
-        "keep_last_frames": patch + f"SELECT {ATT}, entity_idx, frame_idx, frame_count, {r2} FROM cut",
+        "keep_last_frames": patch + f"SELECT {ATT}, entity_idx, frame_idx, frame_count, {r2}, round(y, 6)+0.0e0 AS y FROM cut",
         "sliding_windows": win + "SELECT * FROM wins",
         "batch_id": "SELECT event_id AS rid, CAST((row_number() OVER (ORDER BY event_id)-1)//32 AS BIGINT) AS batch_id FROM events",
         "last_wins": base
@@ -380,18 +380,18 @@ def _sql() -> dict[str, str]:
         "zero_fill": base + "SELECT rid, CASE WHEN x>0 THEN round(x, 6) ELSE 0.0e0 END AS x FROM tracking",
         "thin_frames": scene
         + f"SELECT {ATT}, entity_idx, CASE WHEN frame_count<5 THEN frame_idx ELSE frame_idx//5 END AS frame_idx, "
-        f"CASE WHEN frame_count<5 THEN frame_count ELSE CAST(ceil(frame_count/5.0e0) AS BIGINT) END AS frame_count, {r2} "
+        f"CASE WHEN frame_count<5 THEN frame_count ELSE CAST(ceil(frame_count/5.0e0) AS BIGINT) END AS frame_count, {r2}, round(y, 6)+0.0e0 AS y "
         "FROM slab WHERE frame_count<5 OR frame_idx%5=0",
         "pad_crop_patch": patch
-        + f"SELECT {ATT}, entity_idx, pos, round(x, 6)+0.0e0 AS value FROM patch UNION ALL "
-        f"SELECT {ATT}, entity_idx, CAST(unnest(range(10, 14)) AS BIGINT), 0.0e0 FROM grid",
+        + f"SELECT {ATT}, entity_idx, pos, round(x, 6)+0.0e0 AS x, round(y, 6)+0.0e0 AS y FROM patch UNION ALL "
+        f"SELECT {ATT}, entity_idx, CAST(unnest(range(10, 14)) AS BIGINT), 0.0e0, 0.0e0 FROM grid",
         "pad_window": win
-        + f"SELECT k.game_id, k.attack_no, k.window_id, k.entity_idx, k.pos, round(coalesce(s.x, 0), 6)+0.0e0 AS value FROM "
+        + f"SELECT k.game_id, k.attack_no, k.window_id, k.entity_idx, k.pos, round(coalesce(s.x, 0), 6)+0.0e0 AS x, round(coalesce(s.y, 0), 6)+0.0e0 AS y FROM "
         f"(SELECT DISTINCT {ATT}, window_id, entity_idx, CAST(p AS BIGINT) AS pos FROM (SELECT *, unnest(range(0, 16)) AS p FROM seen)) k "
         "LEFT JOIN seen s ON s.game_id=k.game_id AND s.attack_no=k.attack_no AND s.window_id=k.window_id "
         "AND s.entity_idx=k.entity_idx AND s.frame_idx=k.window_id*8+k.pos",
         "normalise_coords": patch + f"SELECT {ATT}, entity_idx, frame_idx, round(x, 6) AS x, round(y, 6) AS y FROM normed",
-        "patches": patch + f"SELECT {ATT}, entity_idx, player_code, pos, round(y, 6)+0.0e0 AS value FROM patch",
+        "patches": patch + f"SELECT {ATT}, entity_idx, player_code, pos, round(x, 6)+0.0e0 AS x, round(y, 6)+0.0e0 AS y FROM patch",
         "player_code": scene + f"SELECT {ATT}, entity_idx, player_code FROM grid",
         "parse_list_text": scene + f"SELECT {ATT}, entity_idx AS pos, entity_id AS item FROM grid",
         "strip_casefold": "SELECT c_custkey, lower(c_name) AS name FROM customer",
