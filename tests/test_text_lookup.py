@@ -15,7 +15,7 @@ def one(spark, expr, *values):
 
 
 def test_strip_and_casefold_like_python(spark):
-    texts = [" a ", "　家長 昭博　", "\x1c\x1fx\x85", " Straße\t", "ΣΑΣ", "ıİI", "", "a b", "µK", "​x", "ŉ", "a\n"]
+    texts = [" a ", "　山川 一郎　", "\x1c\x1fx\x85", " Straße\t", "ΣΑΣ", "ıİI", "", "a b", "µK", "​x", "ŉ", "a\n"]
     assert one(spark, TX.strip("c"), *texts) == [t.strip() for t in texts]
     assert one(spark, TX.casefold("c"), *texts) == [t.casefold() for t in texts]
 
@@ -25,11 +25,11 @@ def test_aliases(spark):
 
 
 def test_question(spark, rows):
-    q = ["川崎フロンターレの家長 昭博選手について教えて", "田中選手について", "教えて", "A B選手", "\n田中選手"]
-    assert one(spark, TX.asked_team("c"), *q) == ["川崎フロンターレ", None, None, None, None]
-    assert one(spark, TX.asked_name("c"), *q) == ["家長 昭博", "田中", None, "B", "田中"]
+    q = ["港町ブルーの山川 一郎選手について教えて", "田中選手について", "教えて", "A B選手", "\n田中選手"]
+    assert one(spark, TX.asked_team("c"), *q) == ["港町ブルー", None, None, None, None]
+    assert one(spark, TX.asked_name("c"), *q) == ["山川 一郎", "田中", None, "B", "田中"]
     prompts = one(spark, TX.prompt_text("c"), *q[:3])
-    assert prompts[0].startswith("選手名: 家長 昭博、チーム: 川崎フロンターレ\nこの選手の")
+    assert prompts[0].startswith("選手名: 山川 一郎、チーム: 港町ブルー\nこの選手の")
     assert prompts[1].startswith("選手名: 田中\n") and prompts[2].startswith("この選手の") and prompts[2].endswith("\n質問: 教えて")
 
 
@@ -63,27 +63,53 @@ def test_supervision(spark, rows):
     assert len(out.vec) == 256 and out.vec[:3] == [0.6, 0.8, 0.0]
 
 
-def expected(question_team, name, roster):
-    """The four steps by hand over a list of (id, name, team, alts)."""
-    first = lambda found: min(found, key=lambda r: (len(r[0]), r[0]))
-    cand = [r for r in roster if question_team and question_team.casefold() in r[2].casefold()] or roster
-    low = name.casefold()
-    exact = [r for r in cand if low == r[1].casefold() or low in [a.casefold() for a in r[3]]]
-    if exact:
-        return first(exact)[0], 1
-    part = [r for r in cand if low in r[1].casefold() or any(low in a.casefold() for a in r[3])]
-    if len(part) == 1:
-        return part[0][0], 2
-    labels = [r[1] for r in cand] + [a for r in cand for a in r[3]]
-    close = difflib.get_close_matches(name, labels, n=1, cutoff=0.75)
-    if not close:
-        return None, None
-    named = [r for r in cand if r[1] == close[0]]
-    return first(named or [r for r in cand if close[0] in r[3]])[0], 3
-
-
-@pytest.mark.parametrize("letters, seed", [("abc", 1), ("abcdefgh家長昭博", 2), ("ab", 3)])
-def test_resolution_equals_brute_force(spark, letters, seed):
+PLAYERS = [
+    ("1", "Torsen", "Harbor", "Miki"),
+    ("2", "Torsenius", "Harbor", ""),
+    ("10", "Aldana", "Harbor", "Aldo"),
+    ("3", "Aldana", "Valley", "Jonny"),
+    ("4", "Quillfeather", "Valley", "PQ"),
+    ("5", "Bramwell", "Valley", ""),
+    ("6", "Lindax", "North", ""),
+    ("7", "Linday", "North", ""),
+]
+ANSWERS = [
+    ("Torsen選手", "1", 1),  # equal, though another name holds it
+    ("TORSEN選手", "1", 1),
+    ("miki選手", "1", 1),  # an alias
+    ("Aldana選手", "3", 1),  # two are equal: the shorter id
+    ("HarborのAldana選手", "10", 1),
+    ("harのAldana選手", "10", 1),  # part of a team's name
+    ("NowhereのAldana選手", "3", 1),  # no such team: everybody
+    ("feather選手", "4", 2),
+    ("senius選手", "2", 2),
+    ("orsen選手", "1", 3),  # two hold it, so the more similar one
+    ("Quilfeather選手", "4", 3),  # 22/23
+    ("Bramwoll選手", "5", 3),  # 14/16
+    ("Jonni選手", "3", 3),  # an alias, 8/10
+    ("Lindaz選手", "7", 3),  # equally similar: the last label
+    ("ValleyのTorsen選手", None, None),
+    ("Zzyzx選手", None, None),
+]
+
+
+def test_answers_worked_by_hand(spark, rows):
+    roster = spark.createDataFrame(PLAYERS, "id string, name string, team string, alt_names string")
+    asked = spark.createDataFrame([(q,) for q, _, _ in ANSWERS], "question string")
+    out = LK.resolve_player(asked, T.shape_roster(roster))
+    assert rows(out, "question", "player_id", "stage") == sorted(ANSWERS, key=lambda r: r[0])
+
+
+def facts(team, name, roster):
+    """Ids whose labels equal the name, ids whose labels hold it, and the best ratio of each id, within the team asked."""
+    labels = {i: [n, *a] for i, n, t, a in roster if team and team.lower() in t.lower()} or {i: [n, *a] for i, n, _, a in roster}
+    equal = {i for i, of in labels.items() if any(x.lower() == name.lower() for x in of)}
+    holds = {i for i, of in labels.items() if any(name.lower() in x.lower() for x in of)}
+    return equal, holds, {i: max(difflib.SequenceMatcher(None, x, name).ratio() for x in of) for i, of in labels.items()}
+
+
+@pytest.mark.parametrize("letters, seed", [("abc", 1), ("abcdefgh山川一郎", 2), ("ab", 3)])
+def test_each_stage_has_its_reason(spark, letters, seed):
     rng = random.Random(seed)
     word = lambda lo, hi: "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
     teams = [word(2, 4) for _ in range(5)]
@@ -101,7 +127,15 @@ def test_resolution_equals_brute_force(spark, letters, seed):
     df = spark.createDataFrame([(i, (t + "の" if t else "") + n + "選手") for i, t, n in asked], "k int, question string")
     raw = spark.createDataFrame([(i, n, t, "|".join(a)) for i, n, t, a in roster], "id string, name string, team string, alt_names string")
     out = {r.k: (r.player_id, r.stage) for r in LK.resolve_player(df, T.shape_roster(raw)).collect()}
-    assert out == {i: expected(t, n, roster) for i, t, n in asked}
+    assert len(out) == len(asked)
+    for i, team, name in asked:
+        player, stage = out[i]
+        equal, holds, ratio = facts(team, name, roster)
+        likest = max(ratio.values())
+        assert (stage == 1) == bool(equal)
+        assert (stage == 2) == (not equal and len(holds) == 1)
+        assert (stage == 3) == (not equal and len(holds) != 1 and likest >= 0.75)
+        assert {1: player in equal, 2: player in holds, 3: ratio.get(player) == likest, None: player is None}[stage]
 
 
 def test_no_name_no_player(spark, rows):
