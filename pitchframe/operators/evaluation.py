@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pitchframe.functions.arrays import l2_normalise
 from pitchframe.operators.neighbours import knn_pairs, label_distances, neighbour_purity
 from pitchframe.operators.rows import require_rows
-from pitchframe.operators.vectors import mean_vectors
+from pitchframe.operators.vectors import MAX_PCA_WIDTH, mean_vectors
 from pitchframe.plans.blocks import CHUNK_ROWS, chunk_pairs
 from pitchframe.plans.ranking import position_by_sort
 from pitchframe.plans.session import staged
@@ -169,7 +169,13 @@ def write_metrics_json(report: DataFrame, path: str) -> None:
 
 
 def layout_2d(vectors: DataFrame) -> DataFrame:
-    """Two plot coordinates for each id, and whether its name is shown (about MAP_LABELS names in all)."""
+    """Two plot coordinates for each id, and whether its name is shown (about MAP_LABELS names in all).
+
+    The driver sees width x width numbers, so wider vectors than MAX_PCA_WIDTH are refused.
+    """
+    width = vectors.agg(F.max(F.size("vec"))).first()[0]
+    if width and width > MAX_PCA_WIDTH:
+        raise ValueError(f"vectors of width {width} exceed {MAX_PCA_WIDTH}")
     data = vectors.select("id", array_to_vector("vec").alias("v"))
     placed = PCA(k=2, inputCol="v", outputCol="p").fit(data).transform(data).withColumn("z", vector_to_array("p"))
     placed = position_by_sort(placed.select("id", "z"), [F.length("id"), F.col("id")], "position")

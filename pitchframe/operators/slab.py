@@ -149,7 +149,7 @@ class Scenes:
     @cached_property
     def status(self) -> DataFrame:
         """attack -> status, reason"""
-        return attack_status(self.ranges, self.cells, self.chosen, self._incomplete)
+        return self._keep(attack_status(self.ranges, self.cells, self.chosen, self._incomplete))
 
 
 def attack_status(ranges: DataFrame, found: DataFrame, chosen: DataFrame, incomplete: str = "pad") -> DataFrame:

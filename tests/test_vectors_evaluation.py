@@ -169,3 +169,9 @@ def test_labels_and_overlap(spark, rows):
     assert rows(EV.common_ids(vecs, labels)) == [("1",), ("2",)]
     assert rows(EV.unlabelled_ids(vecs, labels)) == [("0",)]
     assert rows(EV.distinct_labels(labels)) == [("a", 0), ("b", 1)]
+
+
+def test_layout_refuses_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(EV, "MAX_PCA_WIDTH", 2)
+    with pytest.raises(ValueError, match="width 3"):
+        EV.layout_2d(frame(spark, [[1, 0, 0], [0, 1, 0]]))
