@@ -6,6 +6,7 @@ from pitchframe.llm.decontaminate import op10_decontaminate
 from pitchframe.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from pitchframe.llm.license_scan import OP1_SQL, op1_license_scan
 from pitchframe.llm.quality import op2_quality
+from pitchframe.llm.quality_rules import OP11_SQL, op11_quality_rules
 from pitchframe.llm.repeats import op8_repeats
 from pitchframe.llm.simhash import op4_simhash
 from pitchframe.llm.source_mix import OP3_SQL, op3_source_mix
@@ -26,6 +27,7 @@ QUERIES = {
         op8_repeats,
         op9_url_filter,
         op10_decontaminate,
+        op11_quality_rules,
     )
 }
-SQL = {"op1_license_scan": OP1_SQL, "op3_source_mix": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op1_license_scan": OP1_SQL, "op3_source_mix": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_quality_rules": OP11_SQL}
