@@ -9,7 +9,6 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,85 +28,146 @@ CHUNK_IDS = 1 << 16
 FILE_IDS, TASK_BYTES = 1 << 26, 64 << 20
 END_ID = 0
 CACHED_PIECES = 500_000
-# A Latin word, with the space before it, and ASCII marks up to the end of the piece.
-WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]+)")
+# Rows of a batch; its bytes are bounded too. Large batches hold more repeated pieces.
+BATCH_ROWS = 4000
+# ASCII marks, and a Latin word with the space before it.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 # ---- encoding
 
 
+def cuts_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer file splits texts as byte-level BPE does, so that texts may be cut before a single space."""
+    pre, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    return (
+        pre.get("type") == "ByteLevel"
+        and pre.get("use_regex", True)
+        and not pre.get("add_prefix_space", True)
+        and tokenizer.get("normalizer") is None
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in tokenizer.get("added_tokens", []))
+    )
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, with the ids of pieces met before kept.
 
-    Byte-level BPE never joins what stands before a single space to what follows, nor letters to the punctuation after
-    them, so a text may be cut there. Pieces repeat, so most are looked up. `fast` cuts at every space of texts that
-    hold no two white-space characters in a row; other texts are cut only at spaces between two characters that are
-    not white space.
+    Byte-level BPE never joins what stands before a single space to what follows, so a text may be cut there. Pieces
+    repeat, so most are looked up; those not met yet are encoded together, as one text of many pieces, and the ids dealt
+    out by the bytes they stand for. `fast` cuts at every space of texts that hold no two white-space characters in a row;
+    other texts are cut only at spaces between two characters that are not white space. Tokenizers of another kind get
+    whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.cuts = cuts_at_spaces(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        """Known pieces are numbered; the ids of number k are flat[ends[k] : ends[k + 1]]."""
+        # Byte-level tokens are written with one character for each byte.
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=np.int64)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            if k < len(self.bytes):
+                self.bytes[k] = len(token)
         self.known: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def _keep(self, piece: str, ids) -> None:
-        self.known[piece] = len(self.known)
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
+        self.flat, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def _ids(self, piece: str) -> array:
-        k = self.known[piece]
-        return self.flat[self.ends[k] : self.ends[k + 1]]
+    def _keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Known pieces are numbered; the ids of number k are flat[ends[k] : ends[k + 1]]."""
+        n = len(self.known)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def _forget(self, pieces: list[str]) -> None:
+        """Only pieces of the batch at hand stay known."""
+        stay = [p for p in pieces if p in self.known]
+        ids, counts = self.gather(np.array([self.known[p] for p in stay], dtype=np.int64))
+        self.known, self.flat, self.ends = {}, np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self._keep(stay, ids, counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for ids in found for i in ids), dtype=np.int64), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _learn(self, pieces: list[str], sizes: list[int]) -> None:
+        """Encode pieces that each begin with one space and end without; `sizes` are their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum(sizes)
+        at = np.searchsorted(ends, stops)
+        if len(ids) and ends[-1] == stops[-1] and (ends[at] == stops).all():
+            self._keep(pieces, ids, np.diff(at + 1, prepend=0))
+        else:
+            self._keep(pieces, *self._encode(pieces))
+
+    def _split_marks(self, pieces: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
+        """Pieces to be encoded, and (piece, word, marks) of those made of a word and ASCII marks after it.
+
+        Byte-level BPE never joins letters to the marks after them.
+        """
+        whole, pairs = [], []
+        for p in pieces:
+            word = p.rstrip(MARKS)
+            if len(word) < len(p) and len(word) > 1 and (word[1:].isalpha() if word.isascii() else LATIN.fullmatch(word)):
+                pairs.append((p, word, p[len(word) :]))
+            else:
+                whole.append(p)
+        return whole, pairs
 
     def pieces(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece."""
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + 2 * len(missing) > CACHED_PIECES:
-            self.forget()
-            missing = list(dict.fromkeys(pieces))
-        ends = {p: m.groups() for p in missing if (m := WORD_AND_MARKS.fullmatch(p))}
-        new = dict.fromkeys([p for p in missing if p not in ends] + [part for pair in ends.values() for part in pair])
-        new = [p for p in new if p not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self._keep(piece, e.ids)
-        for piece, (word, marks) in ends.items():
-            self._keep(piece, self._ids(word) + self._ids(marks))
+        get = self.known.get
+        missing = [p for p in dict.fromkeys(pieces) if get(p) is None]
+        if missing:
+            if len(self.known) + len(missing) > CACHED_PIECES:
+                self._forget(list(dict.fromkeys(pieces)))
+            joined = [p for p in missing if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+            joined, pairs = self._split_marks(joined)
+            joined = [w for w in dict.fromkeys(joined + [w for _, w, _ in pairs]) if w not in self.known]
+            for at in range(0, len(joined), 8192):
+                some = joined[at : at + 8192]
+                self._learn(some, [len(p) if p.isascii() else len(p.encode()) for p in some])
+            made = {p for p, _, _ in pairs}
+            alone = [p for p in dict.fromkeys(missing + [m for _, _, m in pairs]) if p not in self.known and p not in made]
+            if alone:
+                self._keep(alone, *self._encode(alone))
+            if pairs:
+                ids, counts = self.gather(np.array([self.known[x] for _, w, m in pairs for x in (w, m)], dtype=np.int64))
+                self._keep([p for p, _, _ in pairs], ids, counts.reshape(-1, 2).sum(1))
         return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered pieces one after another, and how many each has."""
-        # Copies: an array that lends its memory can't grow.
-        ends, flat = np.array(self.ends, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
-        start = ends[numbers]
-        lengths = ends[numbers + 1] - start
+        start = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - start
         before = np.cumsum(lengths) - lengths
-        return flat[np.arange(int(lengths.sum())) + np.repeat(start - before, lengths)], lengths
+        return self.flat[np.arange(int(lengths.sum())) + np.repeat(start - before, lengths)], lengths
 
     def fast(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(texts, " ")
         offsets = words.offsets.to_numpy()
         codes = words.flatten().dictionary_encode()
-        names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64)
+        names, codes = codes.dictionary, codes.indices.to_numpy().astype(np.int64)
         # The first piece of a text has no space before it.
         first = offsets[:-1] - offsets[0]
         starters = np.unique(codes[first])
         place = np.zeros(len(names), dtype=np.int64)
         place[starters] = np.arange(len(starters)) + len(names)
         codes[first] = place[codes[first]]
-        numbers = self.pieces([f" {n}" for n in names] + [names[s] for s in starters])
+        spaced = pc.binary_join_element_wise("", names, " ").to_pylist()
+        numbers = self.pieces(spaced + names.take(pa.array(starters)).to_pylist())
         out, lengths = self.gather(numbers[codes])
         return out, np.add.reduceat(lengths, first)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids for each text."""
+        if not self.cuts:
+            ids, counts = self._encode(texts.to_pylist())
+            return np.split(ids.astype(np.uint32), np.cumsum(counts)[:-1])
         double = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
         slow = pc.match_substring_regex(texts, double).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -271,6 +331,7 @@ def write_tokens(
     """
     spark = df.sparkSession
     text_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     _, size = total_bytes(rows, "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
