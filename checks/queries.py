@@ -20,6 +20,7 @@ from pitchframe.operators import rows as R
 from pitchframe.operators import slab as SL
 from pitchframe.operators import splits as SP
 from pitchframe.operators import trajectories as TR
+from pitchframe.operators import vector_index as VI
 from pitchframe.operators import vectors as V
 from pitchframe.operators import windows as W
 from pitchframe.plans.session import shared_folder, staged, tune
@@ -372,6 +373,20 @@ def knn_pairs_euclidean(spark, sf):
     return pairs.select("id", "rank", "neighbour", r6("distance").alias("distance"))
 
 
+@query
+def knn_index(spark, sf):
+    pairs = VI.knn_index(_labelled(spark, sf), 10, cell_rows=128)
+    return pairs.select("id", "rank", "neighbour", r6("distance").alias("distance"))
+
+
+@query
+def knn_recall(spark, sf):
+    """Whether the approximate form finds nine tenths of the true neighbours."""
+    rows = _labelled(spark, sf)
+    found, exact = VI.knn_index(rows, 10, recall=0.95, cell_rows=128), NB.knn_pairs(rows, 10)
+    return VI.recall_of(found, exact).select("pairs", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _keyed(spark, sf):
     return S.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
 

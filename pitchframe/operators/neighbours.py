@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pitchframe.plans.blocks import CHUNK_ROWS, chunk_pairs
 from pitchframe.plans.session import staged
 
 METRICS = ("cosine", "euclidean")
+FOUND = "id string, distance double, neighbour string, neighbour_label string"
 
 
 def _space(vec: Column, metric: str) -> Column:
@@ -24,7 +27,7 @@ def _space(vec: Column, metric: str) -> Column:
     return F.concat(l2_normalise(vec), F.array(F.when(zero, 1.0).otherwise(0.0)))
 
 
-def _best_kernel(keep: int, metric: str):
+def best_kernel(keep: int, metric: str):
     """The `keep` nearest base rows of each query row of a chunk pair; ties go to the shorter, then smaller id."""
 
     def best(q, b):
@@ -76,7 +79,20 @@ def knn_pairs(
     `df` has a unique text `id`, `vec` and, if there is one, `label`. Exact; distances equal to 12 decimals tie and go
     to the id first in (length, text) order. Equal vectors are searched once and lend k+1 of their ids at most. Distinct
     vectors meet chunk against chunk, a chunk pair giving back k+1 rows for each vector only; the work is N x N
-    products of whole vectors, one plan at any size.
+    products of whole vectors, one plan at any size. For many vectors see `vector_index.knn_index`.
+    """
+
+    def search(points: DataFrame, lenders: DataFrame) -> DataFrame:
+        return chunk_pairs(points, lenders, [], "id", best_kernel(k + 1, metric), FOUND, chunk_rows)
+
+    return neighbour_lists(df, k, metric, search)
+
+
+def neighbour_lists(df: DataFrame, k: int, metric: str, search: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The k nearest others of each vector by any `search`.
+
+    `search(points, lenders)` gets the distinct vectors (id, v) and the rows that may be neighbours (id, label, v), and
+    gives rows (id, distance, neighbour, neighbour_label) that hold the k+1 nearest of each point.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -86,15 +102,7 @@ def knn_pairs(
     # Written once: it is counted twice and read on both sides.
     lenders = staged(members.withColumn("t", F.row_number().over(twins)).filter(F.col("t") <= k + 1))
     points = lenders.filter("t = 1").select("id", "v")
-    best = chunk_pairs(
-        points,
-        lenders.select("id", "label", "v"),
-        [],
-        "id",
-        _best_kernel(k + 1, metric),
-        "id string, distance double, neighbour string, neighbour_label string",
-        chunk_rows,
-    )
+    best = search(points, lenders.select("id", "label", "v"))
     order = Window.partitionBy("id").orderBy("distance", F.length("neighbour"), "neighbour")
     best = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     found = F.struct("r", "distance", "neighbour", "neighbour_label")
