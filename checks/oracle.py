@@ -174,6 +174,42 @@ sup AS (
 SOME_LABELS = "(SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality AS VARCHAR) AS label FROM labels)"
 
 
+# The matching-block ratio by recursion: a pair of texts is split at its longest common piece, and both sides go on.
+_SIZES = "list_filter(range(1, least(length(a), length(b)) + 1), lambda n: len(list_filter(range(1, length(a) - n + 2), lambda i: contains(b, substr(a, i, n)))) > 0)"
+RESOLVE = f"""
+WITH RECURSIVE {QUESTIONS},
+r AS (SELECT CAST(c_custkey AS VARCHAR) AS id, trim(c_name) AS name, lower(n_name) AS team, c_mktsegment||'-'||c_custkey AS alt
+  FROM customer JOIN nation ON c_nationkey=n_nationkey),
+hits AS (
+  SELECT q.question_id, q.team, q.name, min(CAST(r.id AS BIGINT)) FILTER (lower(r.name)=lower(q.name) OR lower(r.alt)=lower(q.name)) AS exact_id,
+    count(*) FILTER (contains(lower(r.name), lower(q.name)) OR contains(lower(r.alt), lower(q.name))) AS n,
+    min(r.id) FILTER (contains(lower(r.name), lower(q.name)) OR contains(lower(r.alt), lower(q.name))) AS part_id
+  FROM qs q JOIN r ON contains(r.team, lower(q.team)) GROUP BY ALL),
+labs AS (SELECT id, team, name AS label, 0 AS kind FROM r UNION ALL SELECT id, team, alt, 1 FROM r),
+pairs AS (
+  SELECT DISTINCT h.name, l.label FROM hits h JOIN labs l ON contains(l.team, lower(h.team))
+  WHERE exact_id IS NULL AND n<>1 AND 2.0*least(length(h.name), length(l.label)) >= 0.75*(length(h.name)+length(l.label))),
+seg AS (
+  SELECT name, label, label AS a, name AS b FROM pairs
+  UNION ALL
+  SELECT name, label, unnest([substr(a, 1, i-1), substr(a, i+n, length(a))]), unnest([substr(b, 1, j-1), substr(b, j+n, length(b))])
+  FROM (
+    SELECT *, position(substr(a, i, n) IN b) AS j
+    FROM (SELECT *, list_filter(range(1, length(a)-n+2), lambda i: contains(b, substr(a, i, n)))[1] AS i
+      FROM (SELECT *, coalesce(list_max({_SIZES}), 0) AS n FROM seg) WHERE n>0))),
+ratios AS (
+  SELECT name, label, 2.0e0*sum(coalesce(list_max({_SIZES}), 0))/(length(name)+length(label)) AS score
+  FROM seg GROUP BY name, label HAVING score>=0.75),
+near AS (
+  SELECT h.question_id, l.id, row_number() OVER (
+    PARTITION BY h.question_id ORDER BY s.score DESC, l.label DESC, l.kind, length(l.id), l.id) AS place
+  FROM hits h JOIN ratios s ON s.name=h.name JOIN labs l ON l.label=s.label AND contains(l.team, lower(h.team))
+  WHERE exact_id IS NULL AND n<>1)
+SELECT h.question_id,
+  CASE WHEN exact_id IS NOT NULL THEN CAST(exact_id AS VARCHAR) WHEN n=1 THEN part_id ELSE c.id END AS player_id,
+  CAST(CASE WHEN exact_id IS NOT NULL THEN 1 WHEN n=1 THEN 2 WHEN c.id IS NOT NULL THEN 3 END AS BIGINT) AS stage
+FROM hits h LEFT JOIN near c ON c.question_id=h.question_id AND c.place=1"""
+
 SPACES = {"style": "vec", "baseline_p": "list_transform(vec, lambda x, i: x * ((i - 1) % 3 + 1))"}
 
 
@@ -315,6 +351,7 @@ def _sql() -> dict[str, str]:
         "FROM qs q JOIN r ON contains(r.team, lower(q.team)) GROUP BY 1) "
         "SELECT question_id, CASE WHEN exact_id IS NOT NULL THEN CAST(exact_id AS VARCHAR) WHEN n=1 THEN part_id END AS player_id, "
         "CAST(CASE WHEN exact_id IS NOT NULL THEN 1 WHEN n=1 THEN 2 END AS BIGINT) AS stage FROM hits",
+        "resolve_player": RESOLVE,
         "knn_pairs": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
         "knn_index": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
         "knn_recall": f"WITH {knn()} SELECT count(*) AS pairs, true AS reached FROM knn",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.functions.arrays import fit_width, l2_normalise
+from pitchframe.functions.matching import matching_ratio
 from pitchframe.functions.text import asked_name, asked_team, casefold, int_key, strip_zeros
 from pitchframe.plans.session import staged
 
@@ -183,25 +183,6 @@ def _rare_first(texts: DataFrame, keys: list[str], frequency: DataFrame) -> Data
     return placed.select(*keys, F.transform("t", lambda t: t["token"]).alias("toks"))
 
 
-def _ratio_udf():
-    @F.pandas_udf("double")
-    def ratio(label, name):
-        import difflib
-
-        import pandas as pd
-
-        out, matcher, last = [], difflib.SequenceMatcher(), None
-        for a, b in zip(label, name):
-            if b != last:
-                matcher.set_seq2(b)
-                last = b
-            matcher.set_seq1(a)
-            out.append(matcher.ratio())
-        return pd.Series(out, dtype="float64")
-
-    return ratio
-
-
 def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, q: int = 1) -> DataFrame:
     """Best label for each (scope, name): the highest difflib ratio at or above `cutoff`, then the last in text order.
 
@@ -231,7 +212,7 @@ def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, q
         .filter(F.array_intersect("pb", "pa")[0] == F.col("token"))
         .filter(common >= enough)
     )
-    scored = pairs.select("scope", "name", "label", _ratio_udf()("label", "name").alias("score"))
+    scored = pairs.select("scope", "name", "label", matching_ratio(F.col("label"), F.col("name")).alias("score"))
     return (
         scored.filter(F.col("score") >= cutoff)
         .groupBy("scope", "name")
