@@ -174,6 +174,92 @@ sup AS (
 SOME_LABELS = "(SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality AS VARCHAR) AS label FROM labels)"
 
 
+# k-means of ten restarts: the first centres one after another, then rounds that move all centres.
+def clustered(vec: str = "vec") -> str:
+    draw = "((h * (2 * (r * 10 + {step}) + 1)) % 2147483647 + 0.5e0) / 2147483647"
+    first, next_ = draw.format(step=0), draw.format(step="(step + 1)")
+    gap = "list_distance(vec, pv) ** 2"
+    return f"""{VECTORS},
+p AS (SELECT id, label, {vec} AS vec, CAST('0x' || substr(md5('42|' || id), 1, 7) AS BIGINT) AS h FROM vecs),
+seeds AS (
+  SELECT r, 0 AS step, id, vec, h, pick, pv, {gap} AS near
+  FROM (SELECT *, arg_min(id, -ln({first})) OVER (PARTITION BY r) AS pick, arg_min(vec, -ln({first})) OVER (PARTITION BY r) AS pv
+    FROM p, (SELECT unnest(range(0, 10)) AS r))
+  UNION ALL
+  SELECT r, step + 1, id, vec, h, pick, pv, least(near, {gap})
+  FROM (SELECT r, step, id, vec, h, near,
+      arg_min(id, CASE WHEN near > 0 THEN -ln({next_}) / near END) OVER (PARTITION BY r) AS pick,
+      arg_min(vec, CASE WHEN near > 0 THEN -ln({next_}) / near END) OVER (PARTITION BY r) AS pv
+    FROM seeds WHERE step < 9)),
+moves AS (
+  SELECT 0 AS t, r, step AS c, any_value(pv) AS v FROM seeds GROUP BY r, step
+  UNION ALL
+  SELECT t + 1, r, c, CASE WHEN len(l) > 0 THEN list_transform(range(1, len(v) + 1), lambda i: list_avg(list_transform(l, lambda x: x[i]))) ELSE v END
+  FROM (
+    SELECT t, r, c, any_value(v) AS v, list(vec) FILTER (c = mine) AS l
+    FROM (SELECT t, r, c, v, vec, arg_min(c, list_distance(vec, v)) OVER (PARTITION BY r, id) AS mine FROM moves, p WHERE t < 50)
+    GROUP BY t, r, c)),
+ends AS (SELECT r, c, v FROM moves WHERE t = 50),
+members AS (
+  SELECT r, id, label, arg_min(c, list_distance(vec, v)) AS c, min(list_distance(vec, v) ** 2) AS cost
+  FROM ends, p GROUP BY r, id, label),
+best AS (SELECT r FROM members GROUP BY r ORDER BY round(sum(cost), 6), r LIMIT 1),
+clusters AS (
+  SELECT id, label, dense_rank() OVER (ORDER BY head) - 1 AS cluster
+  FROM (SELECT *, min({{'n': length(id), 'id': id}}) OVER (PARTITION BY c) AS head FROM members WHERE r = (SELECT r FROM best)))"""
+
+
+NMI = """,
+j AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM clusters GROUP BY 1, 2),
+h AS (
+  SELECT (SELECT ln(sum(n)) - sum(n*ln(n))/sum(n) FROM (SELECT sum(n) AS n FROM j GROUP BY label)) AS l,
+    (SELECT ln(sum(n)) - sum(n*ln(n))/sum(n) FROM (SELECT sum(n) AS n FROM j GROUP BY cluster)) AS c,
+    (SELECT ln(sum(n)) - sum(n*ln(n))/sum(n) FROM j) AS lc)
+SELECT round((l + c - lc) / ((l + c) / 2), 6) AS nmi FROM h"""
+
+
+# Principal components by Jacobi rotations: in each step every row of the covariance is paired with another one, as in a
+# round-robin tournament, and all pairs are turned at once.
+def components(width: int = 64, k: int = 16, sweeps: int = 12) -> str:
+    n = width - 1
+    mate = lambda c: f"CASE WHEN {c} = {n} THEN (t * {width // 2}) % {n} WHEN (t - {c} + {n}) % {n} = {c} THEN {n} ELSE (t - {c} + {n}) % {n} END"
+    corner = lambda c, x, y: f"max(CASE WHEN i = {x} AND j = {y} THEN a END) OVER (PARTITION BY least({c}, {c}m))"
+    lo, hi = "least({0}, {0}m)", "greatest({0}, {0}m)"
+    pair = ", ".join(
+        f"{corner(c, lo.format(c), lo.format(c))} AS {c}pp, {corner(c, hi.format(c), hi.format(c))} AS {c}qq, {corner(c, lo.format(c), hi.format(c))} AS {c}pq"
+        for c in "ij"
+    )
+    tan = lambda c: f"CASE WHEN {c}pq = 0 THEN 0 ELSE CASE WHEN {c}qq >= {c}pp THEN 1 ELSE -1 END * 2 * {c}pq / (abs({c}qq - {c}pp) + sqrt(({c}qq - {c}pp) ** 2 + 4 * {c}pq ** 2)) END"
+    return f"""{VECTORS},
+flat AS (SELECT id, i, vec[i + 1] AS x FROM (SELECT id, vec, unnest(range(0, {width})) AS i FROM vecs)),
+centred AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM flat),
+turned AS (
+  SELECT 0 AS t, i, j, a, (i = j)::INT::DOUBLE AS v
+  FROM (SELECT p.i, q.i AS j, sum(p.x * q.x) AS a FROM centred p JOIN centred q USING (id) GROUP BY p.i, q.i)
+  UNION ALL
+  SELECT t + 1, ti, tj, sum(fi * fj * a), sum(fv * fj * v)
+  FROM (
+    SELECT t, a, v,
+      unnest([i, i, im, im]) AS ti, unnest([j, jm, j, jm]) AS tj,
+      unnest([ic, ic, ig, ig]) AS fi, unnest([jc, jg, jc, jg]) AS fj, unnest([1, 1, 0, 0]) AS fv
+    FROM (
+      SELECT t, i, j, im, jm, a, v, 1 / sqrt(1 + it * it) AS ic, 1 / sqrt(1 + jt * jt) AS jc,
+        CASE WHEN i < im THEN it ELSE -it END / sqrt(1 + it * it) AS ig, CASE WHEN j < jm THEN jt ELSE -jt END / sqrt(1 + jt * jt) AS jg
+      FROM (SELECT *, {tan('i')} AS it, {tan('j')} AS jt
+        FROM (SELECT *, {pair} FROM (SELECT *, {mate('i')} AS im, {mate('j')} AS jm FROM turned WHERE t < {sweeps * n})))))
+  GROUP BY t, ti, tj),
+axes AS (
+  SELECT j, row_number() OVER (ORDER BY value DESC) AS place, v
+  FROM (SELECT j, max(a) FILTER (i = j) AS value, list(v ORDER BY i) AS v FROM turned WHERE t = {sweeps * n} GROUP BY j)),
+signed AS (
+  SELECT place, list_transform(v, lambda x: x * CASE WHEN list_filter(v, lambda y: abs(y) >= list_max(list_transform(v, lambda z: abs(z))) - 1e-9)[1] < 0 THEN -1 ELSE 1 END) AS v
+  FROM axes WHERE place <= {k}),
+projected AS (
+  SELECT id, list(list_dot_product(x, v) ORDER BY place) AS p
+  FROM (SELECT id, list(x ORDER BY i) AS x FROM centred GROUP BY id), signed GROUP BY id)
+"""
+
+
 # The matching-block ratio by recursion: a pair of texts is split at its longest common piece, and both sides go on.
 _SIZES = "list_filter(range(1, least(length(a), length(b)) + 1), lambda n: len(list_filter(range(1, length(a) - n + 2), lambda i: contains(b, substr(a, i, n)))) > 0)"
 RESOLVE = f"""
@@ -353,6 +439,7 @@ def _sql() -> dict[str, str]:
         "CAST(CASE WHEN exact_id IS NOT NULL THEN 1 WHEN n=1 THEN 2 END AS BIGINT) AS stage FROM hits",
         "resolve_player": RESOLVE,
         "knn_pairs": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
+        "kmeans_labels": f"WITH RECURSIVE {clustered()} SELECT id, label, CAST(cluster AS BIGINT) AS cluster FROM clusters",
         "knn_index": f"WITH {knn()} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
         "knn_recall": f"WITH {knn()} SELECT count(*) AS pairs, true AS reached FROM knn",
         "knn_pairs_euclidean": f"WITH {knn('euclidean')} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM knn",
@@ -475,6 +562,9 @@ SELECT a.split, round(d, 6) AS loss_delta, round(c, 6) AS loss_infonce, round(d+
 (SELECT split, sum(e*valid)/greatest(sum(valid), 1) AS d FROM splitted GROUP BY 1) a JOIN
 (SELECT split, avg(loss) AS c FROM losses JOIN splitted USING (k) GROUP BY 1) b ON a.split=b.split""",
         "write_metrics_json": _metrics(),
+        "space_report": _metrics(mutual=True),
+        "pca_project": f"WITH RECURSIVE {components()}"
+        + explode("id", "vec", f"(SELECT id, {unit('p')} AS vec FROM projected)"),
         "save_projection": "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(8 AS BIGINT) AS width FROM embeddings",
         "attack_scene_summary": scene
         + "SELECT r.game_id, r.attack_no, min_frame, max_frame, f.frame_count, g.entities, s.n_cells, s.sum_x, s.sum_y "
@@ -484,11 +574,13 @@ SELECT a.split, round(d, 6) AS loss_delta, round(c, 6) AS loss_infonce, round(d+
     }
 
 
-def _metrics() -> str:
+def _metrics(mutual: bool = False) -> str:
     parts = []
     for space in SPACES:
         parts.append(f"SELECT '{space}' AS space, 'neighbor_purity' AS metric, neighbor_purity AS value FROM (WITH {knn(space=space)} {PURITY})")
         parts.append(f"SELECT '{space}', 'silhouette', silhouette FROM (WITH {knn(space=space)} {SILHOUETTE})")
+        if mutual:
+            parts.append(f"SELECT '{space}', 'nmi', nmi FROM (WITH RECURSIVE {clustered(SPACES[space])} {NMI})")
     return " UNION ALL ".join(parts)
 
 

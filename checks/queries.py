@@ -759,8 +759,7 @@ def attack_vectors(spark, sf):
 
 @query
 def pca_project(spark, sf):
-    out = V.pca_project(S.vectors(spark, sf), 16).vectors
-    return long_vec(out.withColumn("vec", F.transform("vec", F.abs)), "id")
+    return long_vec(V.pca_project(S.vectors(spark, sf), 16).vectors, "id")
 
 
 @query

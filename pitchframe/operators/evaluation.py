@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.functions.arrays import l2_normalise
+from pitchframe.operators.clusters import kmeans
 from pitchframe.operators.neighbours import knn_pairs, label_distances, neighbour_purity
 from pitchframe.operators.rows import require_rows
 from pitchframe.operators.vectors import MAX_PCA_WIDTH, mean_vectors
@@ -21,7 +18,6 @@ from pitchframe.plans.session import staged
 
 RESTARTS = 10
 SEED = 42
-FITS_AT_ONCE = 4
 MAP_LABELS = 50
 
 
@@ -102,23 +98,9 @@ def silhouette(df: DataFrame, metric: str = "cosine", chunk_rows: int = CHUNK_RO
 
 
 def kmeans_labels(df: DataFrame, k: int | None = None, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """Add `cluster`: the best of `restarts` k-means fits by cost, k being the number of labels.
-
-    The restarts are independent jobs on the same cached rows and run a few at a time.
-    """
+    """Add `cluster`: the best of `restarts` k-means runs by cost, k being the number of labels."""
     k = k or df.select("label").distinct().count()
-    data = df.withColumn("features", array_to_vector("vec"))
-    if k < 2:
-        return df.withColumn("cluster", F.lit(0))
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        runs = [KMeans(k=k, seed=seed + i, predictionCol="cluster") for i in range(restarts)]
-        with ThreadPool(FITS_AT_ONCE) as pool:
-            fits = pool.map(inheritable_thread_target(df.sparkSession)(lambda run: run.fit(data)), runs)
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
-    return best.transform(data).drop("features")
+    return kmeans(df, k, restarts, seed) if k > 1 else df.withColumn("cluster", F.lit(0))
 
 
 def nmi(df: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +51,17 @@ def attack_vectors(features: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 @dataclass
 class Projection:
-    model: PipelineModel  # centring, then principal components
+    model: PipelineModel  # centring, principal components, their signs
     vectors: DataFrame  # id, vec of unit length
     ids: DataFrame  # id
 
 
 def pca_project(vectors: DataFrame, k: int = VECTOR_WIDTH) -> Projection:
-    """Centre, project on the first min(k, rows, width) principal components, scale to unit length."""
+    """Centre, project on the first min(k, rows, width) principal components, scale to unit length.
+
+    A component and its negative explain the same, so the sign is fixed: its entry of largest size, the first of equal
+    ones, is positive.
+    """
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not size["n"]:
         raise ValueError("no vectors to project")
@@ -65,8 +71,12 @@ def pca_project(vectors: DataFrame, k: int = VECTOR_WIDTH) -> Projection:
     data = vectors.withColumn("_v", array_to_vector("vec"))
     centre = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(data)
     pca = PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(data))
-    model = PipelineModel([centre, pca])
-    out = model.transform(data).select("id", l2_normalise(vector_to_array("_p")).alias("vec"))
+    parts = pca.pc.toArray()
+    first = (np.abs(parts) >= np.abs(parts).max(axis=0) - 1e-9).argmax(axis=0)
+    signs = np.where(parts[first, np.arange(k)] < 0, -1.0, 1.0)
+    sign = ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol="_p", outputCol="_s")
+    model = PipelineModel([centre, pca, sign])
+    out = model.transform(data).select("id", l2_normalise(vector_to_array("_s")).alias("vec"))
     return Projection(model, out, vectors.select("id"))
 
 
