@@ -260,6 +260,39 @@ projected AS (
 """
 
 
+# The neighbour layout: one pair of tables for each of its twelve rounds.
+def layout(rounds: int = 12, samples: int = 5) -> str:
+    out = [
+        f"""WITH RECURSIVE {knn()},{components(k=2).removeprefix(VECTORS + ",")},
+flat2 AS (SELECT row_number() OVER (ORDER BY length(id), id) - 1 AS n, id, p[1] AS x, p[2] AS y FROM projected),
+named AS (
+  SELECT a.n AS i, b.n AS j, exp(-(distance - near) / greatest(mean - near, 1e-9)) AS w
+  FROM (SELECT *, min(distance) OVER (PARTITION BY id) AS near, avg(distance) OVER (PARTITION BY id) AS mean FROM knn) k
+  JOIN flat2 a ON a.id = k.id JOIN flat2 b ON b.id = neighbour),
+edges AS MATERIALIZED (
+  SELECT i, j, CASE WHEN count(*) = 1 THEN max(w) ELSE max(w) + min(w) - max(w) * min(w) END AS w
+  FROM (SELECT i, j, w FROM named UNION ALL SELECT j, i, w FROM named) GROUP BY i, j),
+y0 AS MATERIALIZED (SELECT n, 10 * x / m AS x, 10 * y / m AS y FROM flat2, (SELECT max(greatest(abs(x), abs(y))) AS m FROM flat2))"""
+    ]
+    for t in range(rounds):
+        far = "((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
+        cut = lambda e: f"greatest(least({e}, 4), -4)"
+        push = lambda c: f"sum({cut(f'2 * (a.{c} - b.{c}) / ((0.1 + {far}) * (1 + {far}))')}) / {samples} AS q{c}"
+        pull = lambda c: f"sum(-2 * w * (a.{c} - b.{c}) / (1 + {far})) / sum(w) AS p{c}"
+        out.append(
+            f"""y{t + 1} AS MATERIALIZED (
+  SELECT y.n, x + {1 - t / rounds!r} * {cut('coalesce(px, 0) + qx')} AS x, y + {1 - t / rounds!r} * {cut('coalesce(py, 0) + qy')} AS y
+  FROM y{t} y
+  JOIN (SELECT a.n, {push('x')}, {push('y')} FROM (SELECT *, unnest(range(0, {samples})) AS s FROM y{t}) a
+    JOIN y{t} b ON b.n = (a.n + 1) * (2 * ({t * samples} + s) + 1) * 48271 % 2147483647 % (SELECT count(*) FROM flat2) GROUP BY a.n) q ON q.n = y.n
+  LEFT JOIN (SELECT i, {pull('x')}, {pull('y')} FROM edges JOIN y{t} a ON a.n = i JOIN y{t} b ON b.n = j GROUP BY i) p ON p.i = y.n)"""
+        )
+    return ",\n".join(out) + (
+        f" SELECT id, round(y.x, 6)+0.0e0 AS x, round(y.y, 6)+0.0e0 AS y, n % greatest((SELECT count(*) FROM flat2) // 50, 1) = 0 AS show_label "
+        f"FROM y{rounds} y JOIN flat2 USING (n)"
+    )
+
+
 # The matching-block ratio by recursion: a pair of texts is split at its longest common piece, and both sides go on.
 _SIZES = "list_filter(range(1, least(length(a), length(b)) + 1), lambda n: len(list_filter(range(1, length(a) - n + 2), lambda i: contains(b, substr(a, i, n)))) > 0)"
 RESOLVE = f"""
@@ -563,6 +596,7 @@ SELECT a.split, round(d, 6) AS loss_delta, round(c, 6) AS loss_infonce, round(d+
 (SELECT split, avg(loss) AS c FROM losses JOIN splitted USING (k) GROUP BY 1) b ON a.split=b.split""",
         "write_metrics_json": _metrics(),
         "space_report": _metrics(mutual=True),
+        "layout_2d": layout(),
         "pca_project": f"WITH RECURSIVE {components()}"
         + explode("id", "vec", f"(SELECT id, {unit('p')} AS vec FROM projected)"),
         "save_projection": "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(8 AS BIGINT) AS width FROM embeddings",

@@ -13,6 +13,7 @@ from pitchframe.functions import text as TX
 from pitchframe.operators import attacks as A
 from pitchframe.operators import entities as E
 from pitchframe.operators import evaluation as EV
+from pitchframe.operators import layout as LA
 from pitchframe.operators import lookup as LK
 from pitchframe.operators import neighbours as NB
 from pitchframe.operators import patches as P
@@ -796,7 +797,7 @@ def space_report(spark, sf):
 
 @query
 def layout_2d(spark, sf):
-    return rounded(EV.layout_2d(S.vectors(spark, sf)), "x", "y")
+    return rounded(LA.layout_2d(S.vectors(spark, sf)), "x", "y")
 
 
 def _head_rows(spark, sf):

@@ -56,11 +56,25 @@ class Projection:
     ids: DataFrame  # id
 
 
-def pca_project(vectors: DataFrame, k: int = VECTOR_WIDTH) -> Projection:
-    """Centre, project on the first min(k, rows, width) principal components, scale to unit length.
+class Components:
+    """Centring, principal components and their signs, fitted; gives column `_s`."""
+
+    def __init__(self, model: PipelineModel):
+        self.model = model
+
+    @staticmethod
+    def prepare(vectors: DataFrame) -> DataFrame:
+        return vectors.withColumn("_v", array_to_vector("vec"))
+
+    def transform(self, prepared: DataFrame) -> DataFrame:
+        return self.model.transform(prepared)
+
+
+def fit_components(vectors: DataFrame, k: int) -> Components:
+    """The first min(k, rows, width) principal components of centred vectors.
 
     A component and its negative explain the same, so the sign is fixed: its entry of largest size, the first of equal
-    ones, is positive.
+    ones, is positive. The covariance is summed up in tasks; the driver solves width x width numbers.
     """
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     if not size["n"]:
@@ -68,16 +82,21 @@ def pca_project(vectors: DataFrame, k: int = VECTOR_WIDTH) -> Projection:
     if size["d"] > MAX_PCA_WIDTH:
         raise ValueError(f"vectors of width {size['d']} exceed {MAX_PCA_WIDTH}")
     k = min(k, size["n"], size["d"])
-    data = vectors.withColumn("_v", array_to_vector("vec"))
+    data = Components.prepare(vectors)
     centre = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(data)
     pca = PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(data))
     parts = pca.pc.toArray()
     first = (np.abs(parts) >= np.abs(parts).max(axis=0) - 1e-9).argmax(axis=0)
     signs = np.where(parts[first, np.arange(k)] < 0, -1.0, 1.0)
     sign = ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol="_p", outputCol="_s")
-    model = PipelineModel([centre, pca, sign])
-    out = model.transform(data).select("id", l2_normalise(vector_to_array("_s")).alias("vec"))
-    return Projection(model, out, vectors.select("id"))
+    return Components(PipelineModel([centre, pca, sign]))
+
+
+def pca_project(vectors: DataFrame, k: int = VECTOR_WIDTH) -> Projection:
+    """Project centred vectors on their first components, scale to unit length."""
+    fitted = fit_components(vectors, k)
+    out = fitted.transform(fitted.prepare(vectors)).select("id", l2_normalise(vector_to_array("_s")).alias("vec"))
+    return Projection(fitted.model, out, vectors.select("id"))
 
 
 def save_projection(projection: Projection, path: str) -> None:

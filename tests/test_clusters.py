@@ -43,7 +43,7 @@ def test_repeated_rows_leave_fewer_clusters(spark):
 
 def test_far_apart_groups_are_found(spark):
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(20, 3)) * 0.01 + c for c in np.eye(3).repeat(2, axis=0) * [[1], [5]] * 1])
+    x = np.concatenate([rng.normal(size=(20, 3)) * 0.01 + c for c in np.concatenate([np.eye(3), 5 * np.eye(3)])])
     out = C.kmeans(frame(spark, x), 6, 10, 42).collect()
     assert all(len({r.cluster for r in out if int(r.id) // 20 == g}) == 1 for g in range(6)) and len({r.cluster for r in out}) == 6
 

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 
 from pitchframe.functions import arrays as AR
 from pitchframe.operators import evaluation as EV
+from pitchframe.operators import layout as LA
 from pitchframe.operators import neighbours as NB
 from pitchframe.operators import vectors as V
 
@@ -157,7 +158,7 @@ def test_clusters_and_report(spark, tmp_path):
 
 def test_layout(spark):
     rng = np.random.default_rng(6)
-    out = EV.layout_2d(frame(spark, rng.normal(size=(120, 4)))).collect()
+    out = LA.layout_2d(frame(spark, rng.normal(size=(120, 4)))).collect()
     assert len(out) == 120 and sum(r.show_label for r in out) == 60
     assert {r.id for r in out if r.show_label} == {str(i) for i in range(0, 120, 2)}
 
@@ -172,6 +173,31 @@ def test_labels_and_overlap(spark, rows):
 
 
 def test_layout_refuses_wide_vectors(spark, monkeypatch):
-    monkeypatch.setattr(EV, "MAX_PCA_WIDTH", 2)
+    monkeypatch.setattr(V, "MAX_PCA_WIDTH", 2)
     with pytest.raises(ValueError, match="width 3"):
-        EV.layout_2d(frame(spark, [[1, 0, 0], [0, 1, 0]]))
+        LA.layout_2d(frame(spark, [[1, 0, 0], [0, 1, 0]]))
+
+
+def test_layout_keeps_more_neighbours_than_components(spark):
+    """A rolled-up sheet: the plane keeps over half of each point's neighbours, two components a third."""
+    rng = np.random.default_rng(0)
+    t, u = rng.uniform(0, 3 * np.pi, 400), rng.uniform(0, 6, 400)
+    x = np.column_stack([t * np.cos(t), u, t * np.sin(t), *rng.normal(size=(5, 400)) * 0.1])
+
+    def near(p):
+        away = ((p[:, None] - p) ** 2).sum(2)
+        np.fill_diagonal(away, np.inf)
+        return [set(r[:10]) for r in away.argsort(1)]
+
+    def kept(p):
+        return np.mean([len(a & b) / 10 for a, b in zip(near(x), near(p))])
+
+    out = {r.id: (r.x, r.y) for r in LA.layout_2d(frame(spark, x), metric="euclidean").collect()}
+    flat = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    mine, parts = kept(np.array([out[str(i)] for i in range(400)])), kept((x - x.mean(0)) @ flat[2][:2].T)
+    assert mine > 0.5 and mine > parts + 0.1
+
+
+def test_layout_of_few_vectors(spark):
+    assert LA.layout_2d(frame(spark, [[1, 0]]).limit(0)).count() == 0
+    assert len(LA.layout_2d(frame(spark, [[1, 0], [0, 1], [0, 1]])).collect()) == 3
