@@ -380,6 +380,23 @@ FROM frames f CROSS JOIN slots s LEFT JOIN slab d ON d.game_id=f.game_id AND d.a
 
 ATT = "game_id, attack_no"
 
+# Least squares by elimination: 16 statistics and an intercept against the 18 steps, one column of the system a step.
+HEAD = f""",
+latest AS (SELECT {ATT}, entity_idx, arg_max(vec, window_id) AS vec FROM features GROUP BY 1,2,3),
+obs AS (
+  SELECT list_concat(list_append({unit('any_value(vec)')}, 1.0e0), list(value ORDER BY pos)) AS z
+  FROM deltas JOIN latest USING ({ATT}, entity_idx) WHERE valid=1 GROUP BY {ATT}, entity_idx),
+cross_ AS (SELECT z, i, unnest(range(0, 35)) AS j FROM (SELECT z, unnest(range(0, 35)) AS i FROM obs)),
+sums AS MATERIALIZED (SELECT i, j, sum(z[i+1]*z[j+1]) AS a, count(*) AS n FROM cross_ GROUP BY i, j),
+solved AS (
+  SELECT 0 AS t, i, j, a FROM sums WHERE i<17
+  UNION ALL
+  SELECT t+1, i, j, CASE WHEN piv<1e-9 THEN CASE WHEN i=t THEN 0 ELSE a END WHEN i=t THEN a/piv ELSE a-below*beside/piv END
+  FROM (SELECT *, max(CASE WHEN i=t AND j=t THEN a END) OVER () AS piv, max(CASE WHEN i=t THEN a END) OVER (PARTITION BY j) AS beside,
+      max(CASE WHEN j=t THEN a END) OVER (PARTITION BY i) AS below FROM solved WHERE t<17))
+SELECT round(((SELECT sum(a) FROM sums WHERE i>=17 AND i=j)
+  - (SELECT sum(c.a*s.a) FROM solved c JOIN sums s ON s.i=c.i AND s.j=c.j WHERE c.t=17 AND c.j>=17)) / (18*(SELECT max(n) FROM sums)), 6)+0.0e0 AS masked_mse"""
+
 
 def _sql() -> dict[str, str]:
     base, scene = f"WITH {BASE}\n", f"WITH {slab()}\n"
@@ -596,6 +613,7 @@ SELECT a.split, round(d, 6) AS loss_delta, round(c, 6) AS loss_infonce, round(d+
 (SELECT split, avg(loss) AS c FROM losses JOIN splitted USING (k) GROUP BY 1) b ON a.split=b.split""",
         "write_metrics_json": _metrics(),
         "space_report": _metrics(mutual=True),
+        "delta_head": f"WITH RECURSIVE {slab()}{PATCH}{WINDOWS}" + HEAD,
         "layout_2d": layout(),
         "pca_project": f"WITH RECURSIVE {components()}"
         + explode("id", "vec", f"(SELECT id, {unit('p')} AS vec FROM projected)"),

@@ -17,6 +17,7 @@ DELTA_WEIGHT, NCE_WEIGHT = 1.0, 0.5
 BATCH = 64
 BATCHES_PER_GROUP = 32
 MAX_HEAD_WIDTH = 1024
+MERGED = 64
 
 
 def frame_deltas(patches: DataFrame) -> DataFrame:
@@ -125,7 +126,8 @@ def evaluate_splits(rows: DataFrame, key: str, size: int = BATCH) -> DataFrame:
 def fit_delta_head(df: DataFrame) -> np.ndarray:
     """Least squares of `deltas` on `vec` (with an intercept) over the valid rows: a (width+1) x 18 matrix.
 
-    One pass: tasks sum X'X and X'Y over their rows, Spark adds the sums up, the driver solves the small system.
+    One pass: tasks sum X'X and X'Y over their rows, the sums of MERGED tasks are added up by one task, those of
+    MERGED such tasks by the next, and what is left of them last. The driver solves the small system.
     """
     width = df.agg(F.max(F.size("vec")).alias("d")).first()["d"]
     if not width or width > MAX_HEAD_WIDTH:
@@ -144,7 +146,10 @@ def fit_delta_head(df: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"p": [total.ravel()]})
 
     parts = df.filter("valid").select("vec", "deltas").mapInPandas(products, "p array<double>")
-    summed = parts.select(array_to_vector("p").alias("p")).agg(Summarizer.sum(F.col("p")).alias("s"))
+    parts = parts.select(F.spark_partition_id().alias("part"), array_to_vector("p").alias("p"))
+    for _ in range(2):
+        parts = parts.groupBy(F.floor(F.col("part") / MERGED).alias("part")).agg(Summarizer.sum(F.col("p")).alias("p"))
+    summed = parts.agg(Summarizer.sum(F.col("p")).alias("s"))
     total = np.array(summed.select(vector_to_array("s").alias("s")).first()["s"]).reshape(n, n + m)
     return np.linalg.lstsq(total[:, :n], total[:, n:], rcond=None)[0]
 
