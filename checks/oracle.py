@@ -380,6 +380,33 @@ FROM frames f CROSS JOIN slots s LEFT JOIN slab d ON d.game_id=f.game_id AND d.a
 
 ATT = "game_id, attack_no"
 
+# Eight fixed kernels of three taps on x and on y over windows of 16 frames, dilated by 1, 2 and 4.
+_DRAW = "(({} + 1) * 48271 % 2147483647 * 48271 % 2147483647) / 2147483647.0e0 * 2 - 1"
+KERNELS = f""",
+paths AS (
+  SELECT {ATT}, window_id, start_frame, entity_idx, count(*) AS n_observed, map_from_entries(list((frame_idx-start_frame, {{'x': x, 'y': y}}))) AS m
+  FROM seen JOIN wins USING ({ATT}, window_id) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1,2,3,4,5),
+filled AS (
+  SELECT {ATT}, window_id, entity_idx, n_observed, unnest(range(0, 8)) AS k,
+    list_transform(range(0, 16), lambda i: coalesce(m[i].x, 0.0e0)) AS xs, list_transform(range(0, 16), lambda i: coalesce(m[i].y, 0.0e0)) AS ys
+  FROM paths),
+raw_taps AS (
+  SELECT k, CAST(1 << (k%3) AS BIGINT) AS d, list_transform(range(0, 3), lambda j: {_DRAW.format('(k*7+j)')}) AS wx,
+    list_transform(range(3, 6), lambda j: {_DRAW.format('(k*7+j)')}) AS wy, ({_DRAW.format('(k*7+6)')})/10 AS b
+  FROM (SELECT unnest(range(0, 8)) AS k)),
+taps AS (SELECT k, d, b, list_transform(wx, lambda w: w-list_avg(wx)) AS wx, list_transform(wy, lambda w: w-list_avg(wy)) AS wy FROM raw_taps),
+answers AS (
+  SELECT f.*, list_transform(range(1, 17-2*d), lambda i: wx[1]*xs[i]+wx[2]*xs[i+d]+wx[3]*xs[i+2*d]+wy[1]*ys[i]+wy[2]*ys[i+d]+wy[3]*ys[i+2*d]+b) AS a
+  FROM filled f JOIN taps USING (k)),
+pooled AS (
+  SELECT {ATT}, window_id, entity_idx, n_observed,
+    list_concat(list(list_max(a) ORDER BY k), list(len(list_filter(a, lambda v: v>0))/CAST(len(a) AS DOUBLE) ORDER BY k)) AS vec
+  FROM answers GROUP BY 1,2,3,4,5),
+wide AS (
+  SELECT w.game_id, w.attack_no, w.window_id, e.entity_idx, e.entity_id, coalesce(p.n_observed, 0) AS n_observed,
+    coalesce(p.vec, list_transform(range(0, 16), lambda i: 0.0e0)) AS vec
+  FROM wins w JOIN ents e USING ({ATT}) LEFT JOIN pooled p USING ({ATT}, window_id, entity_idx))"""
+
 # Least squares by elimination: 16 statistics and an intercept against the 18 steps, one column of the system a step.
 HEAD = f""",
 latest AS (SELECT {ATT}, entity_idx, arg_max(vec, window_id) AS vec FROM features GROUP BY 1,2,3),
@@ -588,6 +615,9 @@ def _sql() -> dict[str, str]:
         "fit_width": vec
         + explode("id", "u", "(SELECT id, list_concat(vec, list_transform(range(0, 16), lambda i: 0.0e0)) AS u FROM vecs)"),
         "window_features": win + explode(f"{ATT}, window_id, entity_idx, entity_id, n_observed", "vec", "features"),
+        "conv_features": win + KERNELS + explode(f"{ATT}, window_id, entity_idx, entity_id, n_observed", "vec", "wide"),
+        "wide_player_vectors": win
+        + " SELECT DISTINCT entity_id AS id, CAST(256 AS BIGINT) AS width, 1.0e0 AS norm FROM features WHERE entity_id<>'ball'",
         "attack_vectors": win
         + f", flat AS (SELECT {ATT}, window_id, i, sum(vec[i+1])/23 AS m FROM (SELECT *, unnest(range(0, 16)) AS i FROM features) GROUP BY 1,2,3,4), "
         f"norms AS (SELECT *, greatest(sqrt(sum(m*m) OVER (PARTITION BY {ATT}, window_id)), 1e-12) AS n FROM flat) "

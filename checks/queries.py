@@ -11,6 +11,7 @@ from checks import standins as S
 from pitchframe.functions import arrays as AR
 from pitchframe.functions import text as TX
 from pitchframe.operators import attacks as A
+from pitchframe.operators import encoder as EN
 from pitchframe.operators import entities as E
 from pitchframe.operators import evaluation as EV
 from pitchframe.operators import layout as LA
@@ -376,7 +377,7 @@ def knn_pairs_euclidean(spark, sf):
 
 @query
 def knn_index(spark, sf):
-    pairs = VI.knn_index(_labelled(spark, sf), 10, cell_rows=128)
+    pairs = VI.knn_index(_labelled(spark, sf), 10)
     return pairs.select("id", "rank", "neighbour", r6("distance").alias("distance"))
 
 
@@ -384,7 +385,7 @@ def knn_index(spark, sf):
 def knn_recall(spark, sf):
     """Whether the approximate form finds nine tenths of the true neighbours."""
     rows = _labelled(spark, sf)
-    found, exact = VI.knn_index(rows, 10, recall=0.95, cell_rows=128), NB.knn_pairs(rows, 10)
+    found, exact = VI.knn_index(rows, 10, recall=0.95), NB.knn_pairs(rows, 10)
     return VI.recall_of(found, exact).select("pairs", (F.col("recall") >= 0.9).alias("reached"))
 
 
@@ -752,6 +753,23 @@ def window_features(spark, sf):
     return long_vec(rows, *W.WINDOW, "entity_idx", "entity_id", "n_observed")
 
 
+@query
+def conv_features(spark, sf):
+    """Few kernels, so that SQL can follow."""
+    found = scenes(spark, sf)
+    rows = EN.conv_features(found.slab, found.entities, found.lengths, WIN, STRIDE, count=8)
+    return long_vec(rows, *W.WINDOW, "entity_idx", "entity_id", "n_observed")
+
+
+@query
+def wide_player_vectors(spark, sf):
+    """Length and unit norm of the 256 numbers of each player, from 512 of each window."""
+    found = scenes(spark, sf)
+    means = V.player_mean_vectors(EN.conv_features(found.slab, found.entities, found.lengths, WIN, STRIDE))
+    fitted = means.select("id", AR.l2_normalise(AR.fit_width("vec")).alias("vec"))
+    return fitted.select("id", F.size("vec").cast("bigint").alias("width"), r6(AR.norm("vec")).alias("norm"))
+
+
 @query
 def attack_vectors(spark, sf):
     found = scenes(spark, sf)

@@ -16,6 +16,7 @@ from pitchframe.operators import slab as SL
 from pitchframe.operators import splits as SP
 from pitchframe.operators import vectors as V
 from pitchframe.operators import windows as W
+from pitchframe.operators.encoder import conv_features
 from pitchframe.plans.session import staged
 from pitchframe.schemas import ATTACK, SOURCE_FPS
 from pitchframe.sources import store as ST
@@ -50,6 +51,8 @@ def stored_slab(tensor: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFram
     slab = seen.join(lengths, ATTACK).join(slots, [*ATTACK, "entity_idx"], "left").join(ball, [*ATTACK, "frame_idx"], "left")
     return slab.withColumn("is_ball", F.coalesce("is_ball", F.lit(False))), entities, lengths
 
+ENCODERS = {"kernels": conv_features, "statistics": W.window_features}
+
 
 def build_player_vectors(
     tensor: DataFrame,
@@ -61,9 +64,11 @@ def build_player_vectors(
     normalise: bool = True,
     width: int = 256,
     min_observed: int = 0,
+    encoder: str = "kernels",
 ) -> V.Projection:
     """Stored attacks -> one vector for each player, kept as CSV and with its projection under `out`.
 
+    `encoder` is "kernels" (512 numbers a window before the projection) or "statistics" (16).
     The slab is thinned to `fps` and scaled as model patches are; fps=25 and normalise=False take it as stored.
     """
     slab, entities, lengths = stored_slab(tensor, meta)
@@ -72,7 +77,7 @@ def build_player_vectors(
         lengths = P.thin_frames(lengths.withColumn("frame_idx", F.lit(0).cast("bigint")), fps).drop("frame_idx")
     if normalise:
         slab = P.normalise_attacks(slab)
-    features = W.window_features(slab, entities, lengths, win, stride, min_observed)
+    features = ENCODERS[encoder](slab, entities, lengths, win, stride, min_observed)
     means = staged(V.player_mean_vectors(features).select("id", "vec"))
     R.require_rows(means, "no player vectors: check the data and the entities in meta")
     projection = V.pca_project(means, width)
