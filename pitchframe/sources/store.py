@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -58,14 +59,16 @@ def write_attacks(scenes: Scenes, path: str, fmt: str = "parquet", mode: str = "
             flat.write.format("feather").mode(mode).save(f"{path}/{part}")
 
 
-def read_part(spark: SparkSession, path: str, part: str, fmt: str = "parquet") -> DataFrame:
+def read_part(spark: SparkSession, path: str, part: str, fmt: str = "parquet", attack_no: int | None = None) -> DataFrame:
+    """A stored part. With `attack_no` the Feather source leaves out rows of other attacks while it reads."""
     _check(fmt)
     try:
         if fmt == "parquet":
             df = spark.read.parquet(f"{path}/{part}")
         else:
             register_feather(spark)
-            df = spark.read.format("feather").load(f"{path}/{part}").drop("stem")
+            equals = {} if attack_no is None else {"attack_no": attack_no}
+            df = spark.read.format("feather").option("equals", json.dumps(equals)).load(f"{path}/{part}").drop("stem")
     except Exception as e:
         if isinstance(e, AnalysisException) or "FileNotFoundError" in str(e):
             raise FileNotFoundError(f"no stored {part} under {path}") from e
@@ -96,7 +99,7 @@ def attack_info(meta: DataFrame, game_id: int, attack_no: int) -> DataFrame:
 
 def load_attack(spark: SparkSession, path: str, game_id: int, attack_no: int, fmt: str = "parquet") -> Attack:
     """The parts of one attack; the game's partition and the sorted files keep the scan small."""
-    parts = {p: read_part(spark, path, p, fmt) for p in ("tensor", "meta", "frames")}
+    parts = {p: read_part(spark, path, p, fmt, attack_no) for p in ("tensor", "meta", "frames")}
     info = attack_info(parts["meta"], game_id, attack_no)
     if info.isEmpty():
         raise FileNotFoundError(f"no stored attack {game_id}/{attack_no} under {path}")
