@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from checks.compare import TABLES, bag
+from pitchframe.llm import source_mix
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.license_scan import scan_licenses
 from pitchframe.llm.registry import QUERIES, SQL
@@ -53,3 +54,55 @@ def test_mix_edges(spark):
     mixed = mix_sources(df).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.taken // r.size for r in told if r.taken}
     assert taken_words(df.limit(0)).count() == 0
+
+
+def test_mix_draws_come_from_the_tree(spark, monkeypatch):
+    """Every draw of every source stands in one shard, shards have even sizes, and nothing is taken that no shard draws."""
+    monkeypatch.setattr(source_mix, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(source_mix, "SHARD_BLOCKS", 3)
+    monkeypatch.setattr(source_mix, "SOURCE_GROUPS", 2)
+    df = spark.createDataFrame([(i, f"s{i % 5}", "w " * (i % 9)) for i in range(300)], "doc_id bigint, source string, text string")
+    told = taken_words(df).collect()
+    assert {tuple(r.shards) for r in taken_words(df).collect()} == {tuple(r.shards) for r in told}
+    assert all(r.taken == r.size * len(r.shards) and r.shards == sorted(r.shards) for r in told)
+    rows = source_mix._sized(df, "doc_id", "source", "text").select("_s", "_size", "_h")
+    _, draws = source_mix.mix_plan(rows)
+    draws = draws.collect()
+    assert len({(d._s, d._block, d.epoch) for d in draws}) == len(draws)
+    per_shard = [sum(d.shard == k for d in draws) for k in range(max(d.shard for d in draws) + 1)]
+    assert len(per_shard) > 4 and max(per_shard) - min(per_shard) <= 1
+    # A tree that deals nothing leaves nothing to take.
+    tree = source_mix.split_tree
+    monkeypatch.setattr(source_mix, "split_tree", lambda *a: tree(*a).where("shard = 0"))
+    assert 0 < sum(bool(r.shards) for r in taken_words(df).collect()) < sum(bool(r.shards) for r in told)
+
+
+def test_split_tree_is_hypergeometric(spark):
+    """Quotas are kept, a source's runs follow each other, and its share of a shard has the right mean."""
+    quotas = spark.createDataFrame([("sa", 700), ("sb", 200), ("sc", 100)], "_s string, q bigint")
+    means = []
+    for seed in range(3):
+        got = source_mix.split_tree(quotas, 1000, 7, seed).collect()
+        for s, q in (("sa", 700), ("sb", 200), ("sc", 100)):
+            mine = sorted((r.shard, r.start, r.quota) for r in got if r._s == s)
+            assert sum(m[2] for m in mine) == q
+            assert [m[1] for m in mine] == [sum(x[2] for x in mine[:k]) for k in range(len(mine))]
+        assert {sum(r.quota for r in got if r.shard == k) for k in range(7)} <= {142, 143}
+        means += [r.quota / 143 for r in got if r._s == "sa"]
+    assert abs(sum(means) / len(means) - 0.7) < 0.02 and max(means) - min(means) > 0.02
+    with pytest.raises(ValueError):
+        source_mix.split_tree(quotas, 10**9, 7)
+
+
+def test_targets_fill_like_vessels(spark):
+    """Against sharing anew until no target is above its cap."""
+    sizes = [("~", 40, 1), *[(f"s{k:02}", n, 1) for k, n in enumerate([1, 0, 5, 3000, 9, 10, 2, 800, 0, 77])]]
+    got = {r._s: r.target for r in source_mix.targets(spark.createDataFrame(sizes, "_s string, source_size bigint, docs bigint")).collect()}
+    weight = {s: k % 3 + 1 for k, (s, _, _) in enumerate(sorted(sizes))}
+    cap, want, left = {s: 3 * n for s, n, _ in sizes}, {}, float(sum(n for _, n, _ in sizes))
+    while rest := [s for s in cap if s not in want]:
+        level = left / sum(weight[s] for s in rest)
+        full = [s for s in rest if level * weight[s] >= cap[s]]
+        want.update({s: cap[s] for s in full} or {s: level * weight[s] for s in rest})
+        left -= sum(cap[s] for s in full)
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(3944)
