@@ -569,6 +569,7 @@ def _sql() -> dict[str, str]:
         + "SELECT game_id, frame, CAST(ha AS BIGINT) AS ha, CAST(no AS BIGINT) AS no, round(arg_max(x, rid), 6) AS x, max(rid) AS rid FROM tracking GROUP BY game_id, frame, ha, no",
         "player_order": scene + "SELECT DISTINCT entity_id AS id FROM ents WHERE entity_id<>'ball'",
         "page": base + "SELECT rid, game_id, frame FROM tracking ORDER BY rid LIMIT 32 OFFSET 224",
+        "stored_page": base + "SELECT rid, game_id, frame FROM tracking ORDER BY rid LIMIT 32 OFFSET 224",
         "sample_rows": base + "SELECT rid, game_id, frame FROM tracking ORDER BY md5('42|'||rid) LIMIT 32",
         "sample_attack": base + f"SELECT {ATT} FROM ranges ORDER BY md5('42|'||game_id||'|'||attack_no) LIMIT 1",
         "train_val_test_split": base + f", {split} SELECT {ATT}, split FROM split",

@@ -27,6 +27,7 @@ from pitchframe.operators import vectors as V
 from pitchframe.operators import windows as W
 from pitchframe.plans.session import shared_folder, staged, tune
 from pitchframe.schemas import ATTACK, PLAY_NAMES, PLAYERS_NAMES, TRACKING_NAMES
+from pitchframe.sources import pages as PG
 from pitchframe.sources import store as ST
 from pitchframe.sources import tables as T
 from pitchframe.sources.feather import register_feather
@@ -574,6 +575,13 @@ def page(spark, sf):
     return R.page(S.tracking(spark, sf), 7, "rid", 32).select("rid", "game_id", "frame")
 
 
+@query
+def stored_page(spark, sf):
+    path = fresh_path(spark)
+    PG.write_pages(S.tracking(spark, sf), path, "rid")
+    return PG.read_page(spark, path, 7, 32).select("rid", "game_id", "frame")
+
+
 @query
 def sample_rows(spark, sf):
     return R.sample_rows(S.tracking(spark, sf), 32, ["rid"]).select("rid", "game_id", "frame")

@@ -165,3 +165,61 @@ def test_csv_quotes_breaks_and_headers(spark, tmp_path):
     assert [(r.id, r.prompt, r.target) for r in got] == [("7", 'say "hi", now', "two\nlines")]
     (tmp_path / "l.csv").write_text("id,label\n1,a\n2,\n")
     assert sorted(tuple(r) for r in read_labels(spark, str(tmp_path / "l.csv")).collect()) == [("1", "a"), ("2", "")]
+
+
+@pytest.mark.parametrize("fmt,dies_at", [("parquet", 0), ("parquet", 3), ("parquet", 4), ("feather", 1)])
+def test_dead_export_leaves_the_old_state(spark, rows, tmp_path, monkeypatch, fmt, dies_at):
+    """An export that dies before, between or after its tables, but before its commit, changes nothing that is read."""
+    s, path = scenes(spark), str(tmp_path / "s")
+    ST.write_attacks(s, path, fmt)
+    before = {p: rows(ST.read_part(spark, path, p, fmt)) for p in ST.PARTS}
+    done = []
+
+    def dying(step):
+        def run(*args):
+            if len(done) == dies_at:
+                raise RuntimeError("lost")
+            done.append(args)
+            step(*args)
+
+        return run
+
+    monkeypatch.setattr(ST, "_write_part", dying(ST._write_part))
+    monkeypatch.setattr(ST, "_commit", dying(ST._commit))
+    with pytest.raises(RuntimeError, match="lost"):
+        ST.write_attacks(s, path, fmt)
+    monkeypatch.undo()
+    assert len(done) == dies_at and {p: rows(ST.read_part(spark, path, p, fmt)) for p in ST.PARTS} == before
+    ST.write_attacks(s, path, fmt)
+    assert {p: rows(ST.read_part(spark, path, p, fmt)) for p in ST.PARTS} == before
+
+
+def test_commits_add_up_and_old_states_go(spark, rows, tmp_path):
+    s, path = scenes(spark), str(tmp_path / "s")
+    with pytest.raises(ValueError):
+        ST.write_attacks(s, path, mode="truncate")
+    ST.write_attacks(s, path, mode="errorifexists")
+    once = rows(ST.read_part(spark, path, "status"))
+    with pytest.raises(FileExistsError):
+        ST.write_attacks(s, path, mode="errorifexists")
+    ST.write_attacks(s, path, mode="ignore")
+    ST.write_attacks(s, path, mode="append")
+    assert rows(ST.read_part(spark, path, "status")) == sorted(once * 2)
+    first, second = ST.committed_states(spark, path)[1]
+    assert ST.drop_old_states(spark, path) == []
+    ST.write_attacks(s, path)
+    assert set(ST.drop_old_states(spark, path)) == {first, second} and not (tmp_path / "s" / first).exists()
+    assert rows(ST.read_part(spark, path, "status")) == once and ST.drop_old_states(spark, path) == []
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "feather"])
+def test_exports_without_commits_stay_readable(spark, rows, tmp_path, fmt):
+    s, path = scenes(spark), str(tmp_path / "s")
+    for part, df in {"meta": SL.attack_meta(s), "status": s.status, "frames": s.frames, "tensor": SL.dense_slab(s).drop("frame_count")}.items():
+        ST._write_part(df, f"{path}/{part}", part, fmt)
+    old = rows(ST.read_part(spark, path, "frames", fmt))
+    assert len(old) == s.frames.count() and ST.load_attack(spark, path, 1, 1, fmt).tensor.count() == 69
+    ST.write_attacks(s, path, fmt, "append")
+    assert rows(ST.read_part(spark, path, "frames", fmt)) == sorted(old * 2)
+    ST.write_attacks(s, path, fmt)
+    assert rows(ST.read_part(spark, path, "frames", fmt)) == old
