@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import table, text_batches, text_key, whole_row
@@ -14,8 +14,9 @@ from pitchframe.plans.session import staged, tune
 
 # Words of a seed, which is also the shortest tile; share of a test item's words that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.5
-# Bits of the filter that tells which documents' seeds are worth a join: one megabyte, whatever the benchmark's size.
-FILTER_BITS = 23
+# Bits (as a power of two) of the filter that tells which documents' seeds are worth a join: 16 for each seed, between one
+# and 16 megabytes. With more seeds more documents pass it, and no result changes.
+FILTER_BITS, MOST_FILTER_BITS = 23, 27
 PORTION = 1 << 20
 M64 = (1 << 64) - 1
 BASE, STEP, MIX = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9
@@ -137,26 +138,28 @@ def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int,
 
 
 def bench_items(items: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """item, words (8 bytes each), seeds of each distinct benchmark text."""
+    """item, words (8 bytes each), seeds and how often each stands in the text, of each benchmark row."""
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, counts = words_of(texts)
             parts = np.split(names, np.cumsum(counts)[:-1])
-            seeds = [np.unique(seeds_of(p, n)).view(np.int64) for p in parts]
-            cols = [batch.column("item"), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["item", "words", "seeds"])
+            seeds = [np.unique(seeds_of(p, n), return_counts=True) for p in parts]
+            held = [pa.array(c, pa.list_(pa.int64())) for c in ([s.view(np.int64) for s, _ in seeds], [c for _, c in seeds])]
+            cols = [batch.column("item"), pa.array([p.tobytes() for p in parts], pa.binary()), *held]
+            yield pa.RecordBatch.from_arrays(cols, names=["item", "words", "seeds", "times"])
 
     rows = items.select(F.col(f"`{key}`").cast("bigint").alias("item"), F.col(f"`{text}`").alias("text"))
-    return staged(rows.mapInArrow(run, "item bigint, words binary, seeds array<bigint>"))
+    return staged(rows.mapInArrow(run, "item bigint, words binary, seeds array<bigint>, times array<bigint>"))
 
 
-def seed_filter(seeds: DataFrame) -> bytes:
-    """One bit for each value of a seed's low bits: at most 256 rows of 4 KB reach the driver, however many seeds."""
-    bit = F.col("seed").bitwiseAND((1 << FILTER_BITS) - 1) + 1
+def seed_filter(seeds: DataFrame, most: int = MOST_FILTER_BITS) -> bytes:
+    """One bit for each value of a seed's low bits: at most 4,096 rows of 4 KB reach the driver, however many seeds."""
+    bits = min(most, max(FILTER_BITS, (16 * seeds.count()).bit_length()))
+    bit = F.col("seed").bitwiseAND((1 << bits) - 1) + 1
     rows = seeds.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    out = bytearray(1 << (FILTER_BITS - 3))
+    out = bytearray(1 << (bits - 3))
     for r in rows.collect():
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
     return bytes(out)
@@ -171,7 +174,7 @@ def find_stretches(shared, n: int):
 
     def stretches(words: np.ndarray) -> list[bytes]:
         seeds = seeds_of(words, n)
-        hit = held[0][(seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+        hit = held[0][(seeds & np.uint64(len(held[0]) - 1)).astype(np.int64)]
         edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         return [words[a : b + n - 1].tobytes() for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))]
 
@@ -210,6 +213,21 @@ def _stretch_seeds(n: int):
     return run
 
 
+def rare_seeds(seeds: DataFrame, asked: DataFrame, n: int, coverage: float) -> DataFrame:
+    """(item, seed): of each item's seeds the rarest in documents, as many as a contaminated document must share one of.
+
+    Every word under a tile lies in a shared seed, so seeds that stand in an item k times in all cover n * k words at most.
+    The seeds that most documents hold are left out as long as they alone can't cover what is asked: a document that
+    shares no other seed stays below `coverage`. So no pair is lost, and phrases common to many documents and many items
+    make no pairs. `seeds` has item, n_words, seed, times; `asked` the seeds of each text, counted before the shuffle.
+    """
+    held = asked.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"))
+    # An item's seeds are no more than its words.
+    common = Window.partitionBy("item").orderBy(F.desc("texts"), "seed")
+    told = seeds.join(held, "seed").withColumn("covers", n * F.sum("times").over(common))
+    return told.where(F.col("covers") > coverage * F.col("n_words") - 1e-6).select("item", "seed")
+
+
 def _tile_pairs(n: int):
     """For mapInArrow over digest, item, words, stretches: the words that tiles cover, the item's words, the tiles."""
 
@@ -246,14 +264,16 @@ def find_contamination(
     spark = docs.sparkSession
     text_batches(spark)
     items = bench_items(bench, item, item_text, n)
-    seeds = items.select("item", F.explode("seeds").alias("seed"))
+    seeds = items.select("item", (F.octet_length("words") / 8).alias("n_words"), F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+    seeds = seeds.select("item", "n_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
     shared = spark.sparkContext.broadcast(seed_filter(seeds))
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = staged(rows.mapInArrow(find_stretches(shared, n), "key bigint, digest binary, stretches array<binary>"))
     # Copies of a text are compared once.
     once = staged(rows.groupBy("digest").agg(F.min("stretches").alias("stretches")))
     asked = once.select("digest", "stretches").mapInArrow(_stretch_seeds(n), "digest binary, seed bigint")
-    hits = asked.join(seeds, "seed").select("digest", "item").distinct()
+    rare = staged(rare_seeds(seeds, asked, n, coverage))
+    hits = asked.join(rare, "seed").select("digest", "item").distinct()
     pairs = hits.join(items.select("item", "words"), "item").join(once, "digest")
     told = pairs.select("digest", "item", "words", "stretches").mapInArrow(_tile_pairs(n), "digest binary, item bigint, covered bigint, words bigint, tiles bigint")
     told = told.withColumn("coverage", F.col("covered") / F.col("words")).where(F.col("coverage") >= coverage)

@@ -97,3 +97,27 @@ def test_empty(spark):
     assert dc.find_contamination(d.limit(0), b).count() == 0
     assert dc.find_contamination(d, b.limit(0)).count() == 0
     assert dc.find_contamination(d, b).count() == 1
+
+
+def test_common_phrases_make_no_pairs(spark):
+    """A phrase that all documents and all items share is left out of the join; no contaminated document is lost."""
+    phrase = "which of these is right"
+    items = [(j, f"{phrase} " + " ".join(f"i{j}w{k}" for k in range(30))) for j in range(20)] + [(50, phrase), (50, phrase + " x"), (None, phrase)]
+    docs = [(i, f"d{i} {phrase} e{i}") for i in range(80)] + [(90, "a " + items[4][1]), (91, " ".join(items[5][1].split()[-17:])), (92, " ".join(items[5][1].split()[-18:]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted({(r.doc_id, r.item_id) for r in dc.find_contamination(d, b).collect() if r.item_id is not None})
+    assert got == sorted([(i, 50) for i in [*range(80), 90]] + [(90, 4), (92, 5)])
+    hot = spark.createDataFrame([(j, 10, s, 1) for j in range(5) for s in (1, 2 + j, 10 + j)], "item bigint, n_words bigint, seed bigint, times bigint")
+    asked = spark.createDataFrame([(1,)] * 90 + [(s,) for s in range(2, 15)], "seed bigint")
+    assert {r.seed for r in dc.rare_seeds(hot, asked, 5, 0.6).collect()} == set(range(2, 15)) - {7, 8, 9}
+    assert 1 in {r.seed for r in dc.rare_seeds(hot, asked, 5, 0.5).collect()}
+
+
+def test_filter_grows_with_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(dc, "FILTER_BITS", 15)
+    seeds = spark.range(5000).selectExpr("xxhash64(id) AS seed")
+    for most, size in ((27, 1 << 14), (15, 1 << 12)):
+        bits = dc.seed_filter(seeds, most)
+        assert len(bits) == size
+        assert all(bits[(r.seed % (size * 8)) // 8] >> (r.seed % 8) & 1 for r in seeds.limit(300).collect())
