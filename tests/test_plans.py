@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchframe.plans import ranking as RK
-from pitchframe.plans.blocks import chunk_pairs
+from pitchframe.plans.blocks import SIDE, chunk_pairs
 from pitchframe.plans.session import shared_folder, staged
 
 
@@ -78,3 +78,21 @@ def test_only_a_local_session_makes_its_own_folder(spark):
     assert shared_folder(named) == "hdfs:///x"
     spark.conf.set("spark.pitchframe.folder", "x")
     spark.conf.unset("spark.pitchframe.folder")
+
+
+def test_copies_do_not_grow_with_the_group(spark):
+    """A large group is cut into SIDE chunks however small they were asked for; a small other side allows more."""
+    df = spark.range(600).withColumnRenamed("id", "k")
+
+    def kernel(q, b):
+        import pandas as pd
+
+        return pd.DataFrame({"k": q["k"], "n": len(b)})
+
+    def met(queries, base):
+        out = chunk_pairs(queries, base, [], "k", kernel, "k long, n long", rows=6)
+        return [tuple(r)[1:] for r in out.groupBy("k").agg(F.count("*"), F.sum("n")).collect()]
+
+    assert met(df, df) == [(SIDE, 600)] * 600
+    assert met(df, df.limit(6)) == [(1, 6)] * 600
+    assert all(chunks > SIDE and n == 600 for chunks, n in met(df.limit(6), df))

@@ -3,6 +3,7 @@ import math
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -201,3 +202,25 @@ def test_layout_keeps_more_neighbours_than_components(spark):
 def test_layout_of_few_vectors(spark):
     assert LA.layout_2d(frame(spark, [[1, 0]]).limit(0)).count() == 0
     assert len(LA.layout_2d(frame(spark, [[1, 0], [0, 1], [0, 1]])).collect()) == 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("shape", ["even", "near", "mixed"])
+def test_blocks_of_a_large_chunk(metric, shape):
+    """Many blocks on both sides; vectors that short numbers cannot tell apart, and of very different lengths."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(11_500, 6))
+    if shape == "near":
+        x = 1000 + x * 1e-4
+    if shape == "mixed":
+        x *= 10.0 ** rng.integers(-6, 7, size=(len(x), 1))
+    x[100] = x[9000]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    v = list(np.concatenate([u, np.zeros((len(u), 1))], axis=1) if metric == "cosine" else u)
+    b = pd.DataFrame({"id": [str(i) for i in range(len(x))], "v": v, "label": "a"})
+    q = b.iloc[np.r_[0:700, 8995:9005]]
+    got = NB.best_kernel(5, metric)(q, b)
+    for i in [*range(0, 700, 35), 100, 9000]:
+        d = 1 - (u * u[i]).sum(1) if metric == "cosine" else np.sqrt(((u - u[i]) ** 2).sum(1))
+        order = sorted(range(len(x)), key=lambda j: (round(d[j], 12) + 0.0, len(str(j)), str(j)))
+        assert list(got[got["id"] == str(i)]["neighbour"]) == [str(j) for j in order[:5]], i
