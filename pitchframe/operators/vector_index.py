@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchframe.operators.neighbours import FOUND, best_kernel, neighbour_lists
-from pitchframe.plans.blocks import chunk_pairs
+from pitchframe.operators.neighbours import FOUND, QUERY_BLOCK, Nearest, base_forms, best_kernel, found_rows, in_order, neighbour_lists, rows_of
+from pitchframe.plans.blocks import SIDE, TASK_ROWS, chunk_pairs
 from pitchframe.plans.session import staged
 
 # Vectors in a cell on average; a cell with more is cut into chunks, so none is too large for a task.
@@ -22,10 +22,23 @@ TRIAL_POINTS = 256
 
 
 class Cells:
-    """Centres of the cells, and how far each cell reaches."""
+    """Centres of the cells, how far each cell reaches, and its tile: cells are put together in few tiles.
 
-    def __init__(self, centres: np.ndarray, reach: np.ndarray):
+    A point is copied to the tiles it has to visit, not to the cells, so the copies do not grow with the cells.
+    """
+
+    def __init__(self, centres: np.ndarray, reach: np.ndarray, rows: np.ndarray | None = None):
         self.centres, self.reach = centres, reach
+        self.tile = np.zeros(len(centres), dtype=np.int64) if rows is None else self._tiles(rows)
+
+    def _tiles(self, rows: np.ndarray) -> np.ndarray:
+        """Runs of about equally many rows, of cells in the order of the coordinate in which the centres differ most."""
+        many = max(min(SIDE, len(rows)), math.ceil(rows.sum() / TASK_ROWS))
+        order = np.argsort(self.centres[:, np.argmax(self.centres.var(axis=0))], kind="stable")
+        middle = np.cumsum(rows[order]) - rows[order] / 2
+        tile = np.zeros(len(rows), dtype=np.int64)
+        tile[order] = np.minimum(middle * many // max(rows.sum(), 1), many - 1)
+        return tile
 
     def distances(self, points: np.ndarray) -> np.ndarray:
         square = (points * points).sum(1)[:, None] + (self.centres * self.centres).sum(1) - 2 * points @ self.centres.T
@@ -65,10 +78,10 @@ def build_cells(points: DataFrame, rows: DataFrame, cell_rows: int = CELL_ROWS)
         return pd.DataFrame({"cell": cell, "away": away[np.arange(len(cell)), cell]})
 
     placed = staged(rows.withColumn("c", nearest("v")).select("*", "c.cell", "c.away").drop("c"))
-    reach = np.full(len(fitted.centres), -np.inf)
-    for cell, away in placed.groupBy("cell").agg(F.max("away")).collect():
-        reach[cell] = away
-    return Cells(fitted.centres, reach), placed
+    reach, counts = np.full(len(fitted.centres), -np.inf), np.zeros(len(fitted.centres), dtype=np.int64)
+    for cell, away, n in placed.groupBy("cell").agg(F.max("away"), F.count(F.lit(1))).collect():
+        reach[cell], counts[cell] = away, n
+    return Cells(fitted.centres, reach, counts), placed
 
 
 def _straight(distance: Column, metric: str) -> Column:
@@ -77,32 +90,71 @@ def _straight(distance: Column, metric: str) -> Column:
     return line * (1 + 1e-9) + 1e-6
 
 
-def _visits(asked: DataFrame, cells: Cells, most: int | None) -> DataFrame:
-    """A row for each point (id, v, cell, far) and other cell that may hold a neighbour nearer than `far`.
+def _meets(cells: Cells, points: np.ndarray, own: np.ndarray, far: np.ndarray, most: int | None) -> np.ndarray:
+    """For each point and cell other than its own: whether the cell may hold a neighbour nearer than `far`.
 
     No vector of a cell is nearer than the centre's distance less the cell's reach. With `most`, only the cells with
     the nearest centres are visited, the point's own among them.
     """
+    away = cells.distances(points)
+    meets = away - cells.reach <= far[:, None]
+    if most is not None and most < away.shape[1]:
+        near = np.argpartition(away, most - 1, axis=1)[:, :most]
+        chosen = np.zeros_like(meets)
+        np.put_along_axis(chosen, near, True, axis=1)
+        meets &= chosen
+    meets[np.arange(len(points)), own] = False
+    return meets
+
+
+def _visits(asked: DataFrame, cells: Cells, most: int | None) -> DataFrame:
+    """A row for each point (id, v, cell, far, last) and tile in which it has a cell to visit."""
     shared = asked.sparkSession.sparkContext.broadcast(cells)
+    last = F.col("last") if "last" in asked.columns else F.lit(None).cast("double")
 
     def visit(batches):
         c = shared.value
+        member = (c.tile[:, None] == np.arange(c.tile.max() + 1)).astype("float32")
         for pdf in batches:
             # Few points at a time, so that a table of points and cells stays small.
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                away = c.distances(_stack(part["v"]))
-                meets = away - c.reach <= part["far"].to_numpy()[:, None]
-                if most is not None and most < away.shape[1]:
-                    near = np.argpartition(away, most - 1, axis=1)[:, :most]
-                    chosen = np.zeros_like(meets)
-                    np.put_along_axis(chosen, near, True, axis=1)
-                    meets &= chosen
-                meets[np.arange(len(part)), part["cell"].to_numpy()] = False
-                row, cell = np.nonzero(meets)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell.astype("int32")})
-
-    return asked.mapInPandas(visit, "id string, v array<double>, cell int")
+            for at in range(0, len(pdf), QUERY_BLOCK):
+                part = pdf.iloc[at : at + QUERY_BLOCK]
+                meets = _meets(c, _stack(part["v"]), part["cell"].to_numpy(), part["far"].to_numpy(), most)
+                row, tile = np.nonzero(meets.astype("float32") @ member)
+                yield part.iloc[row].assign(tile=tile)
+
+    schema = "id string, v array<double>, cell int, far double, last double, tile long"
+    return asked.select("id", "v", "cell", "far", last.alias("last")).mapInPandas(visit, schema)
+
+
+def _tile_kernel(cells, keep: int, metric: str, most: int | None):
+    """The nearest rows of a tile for each point, found cell by cell; `last` of a point bounds how far they are."""
+
+    def best(q, b):
+        c, b = cells.value, in_order(b)
+        # Cells of the tile one after another, rows in the order of ties inside.
+        number = np.argsort(b["cell"].to_numpy(), kind="stable")
+        homes = b["cell"].to_numpy()[number]
+        starts = np.flatnonzero(np.diff(homes, prepend=-1))
+        stops, held = np.append(starts[1:], len(homes)), homes[starts]
+        q = q.sort_values(["cell", "id"])
+        x, y = rows_of(q["v"], metric), rows_of(b["v"].iloc[number], metric)
+        forms, parts = base_forms(x, y, metric), []
+        for at in range(0, len(q), QUERY_BLOCK):
+            part = q.iloc[at : at + QUERY_BLOCK]
+            bound = part["last"].fillna(np.inf).to_numpy()
+            meets = _meets(c, _stack(part["v"]), part["cell"].to_numpy(), part["far"].to_numpy(), most)[:, held]
+            nearest = Nearest(x[at : at + QUERY_BLOCK], keep, metric, bound)
+            # Cells that most points visit come first: they bring the bounds down.
+            for k in np.argsort(-meets.sum(0), kind="stable"):
+                mine = np.flatnonzero(meets[:, k])
+                if len(mine):
+                    nearest.meet(y, forms, slice(starts[k], stops[k]), number, None if len(mine) == len(part) else mine)
+            row, col, near = nearest.found()
+            parts.append((row + at, col, near))
+        return found_rows(q, b, parts)
+
+    return best
 
 
 def _search(placed: DataFrame, lenders: DataFrame, cells: Cells, k: int, metric: str, cell_rows: int, most: int | None) -> DataFrame:
@@ -113,8 +165,13 @@ def _search(placed: DataFrame, lenders: DataFrame, cells: Cells, k: int, metric:
     last = own.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k + 1).select("id", F.col("distance").alias("last"))
     # A cell with too few members bounds nothing.
     far = F.coalesce(_straight(F.col("last"), metric), F.lit(float("inf")))
-    asked = placed.join(last, "id", "left").select("id", "v", "cell", far.alias("far"))
-    others = chunk_pairs(_visits(asked, cells, most), lenders, ["cell"], "id", kernel, FOUND, 2 * cell_rows)
+    asked = placed.join(last, "id", "left").select("id", "v", "cell", far.alias("far"), "last")
+    spark = lenders.sparkSession
+    shared = spark.sparkContext.broadcast(cells)
+    tiles = spark.createDataFrame([(i, int(t)) for i, t in enumerate(cells.tile)], "cell int, tile long")
+    others = chunk_pairs(
+        _visits(asked, cells, most), lenders.join(tiles, "cell"), ["tile"], "id", _tile_kernel(shared, k + 1, metric, most), FOUND, cell_rows, side=1
+    )
     return own.unionByName(others)
 
 

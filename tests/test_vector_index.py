@@ -52,3 +52,14 @@ def test_recall_is_reached(spark):
     exact = NB.knn_pairs(df, 10)
     told = VI.recall_of(VI.knn_index(df, 10, recall=0.95, cell_rows=50), exact).first()
     assert told.pairs == 15_000 and told.recall >= 0.9
+
+
+def test_copies_of_a_point_do_not_grow_with_the_cells(spark):
+    """Evenly spread vectors visit nearly all cells, but those lie in few tiles."""
+    df = spark.createDataFrame(gathered(1200, 1200, 16, 5, 1.0), "id string, label string, vec array<double>")
+    points = df.selectExpr("id", "vec AS v")
+    cells, placed = VI.build_cells(points, points, 10)
+    visits = VI._visits(placed.selectExpr("id", "v", "cell", "1e9D AS far"), cells, None)
+    assert len(cells.centres) == 120 and set(cells.tile) == set(range(8))
+    assert visits.count() == 8 * 1200
+    assert lists(VI.knn_index(df, 3, "euclidean", cell_rows=10)) == lists(NB.knn_pairs(df, 3, "euclidean"))
