@@ -169,7 +169,7 @@ def _lost(n: Column, q: int, cutoff: float) -> Column:
     """
     if q == 1:
         return (n - F.ceil(n * F.lit(cutoff / (2 - cutoff)) - 1e-9)).cast("int")
-    return (F.floor(n * F.lit(2 * (1 - cutoff) / cutoff) + 1e-9) * q).cast("int")
+    return (_unmatched(n, cutoff) * q).cast("int")
 
 
 def _rare_first(texts: DataFrame, keys: list[str], frequency: DataFrame) -> DataFrame:
@@ -183,14 +183,44 @@ def _rare_first(texts: DataFrame, keys: list[str], frequency: DataFrame) -> Data
     return placed.select(*keys, F.transform("t", lambda t: t["token"]).alias("toks"))
 
 
-def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, q: int = 1) -> DataFrame:
-    """Best label for each (scope, name): the highest difflib ratio at or above `cutoff`, then the last in text order.
+def _unmatched(n: Column, cutoff: float) -> Column:
+    """How many characters of a text of `n` characters and of its partner may be unmatched together."""
+    return F.floor(n * F.lit(2 * (1 - cutoff) / cutoff) + 1e-9)
+
+
+def _less_one(text: Column) -> Column:
+    """The text, and the text without any one of its characters."""
+    n = F.length(text)
+    shorter = F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(text.substr(F.lit(1), i - 1), text.substr(i + 1, n))
+    )
+    return F.array_distinct(F.concat(F.array(text), shorter))
+
+
+def similar_pairs(names: DataFrame, labels: DataFrame, cutoff: float, q: int) -> DataFrame:
+    """(scope, name, label) of all pairs that may reach the cutoff, from distinct (scope, name) and (scope, label).
+
+    Matched characters are a common part of both texts in order. So short texts, of which one character may be unmatched,
+    are equal, or equal when each leaves out one character at most: an equality join, with few pairs however many
+    labels there are. Longer texts meet on their rarest tokens.
+    """
+    short = lambda text: _unmatched(F.length(text), cutoff) <= 1
+    near = labels.filter(short("label")).withColumn("key", F.explode(_less_one(F.col("label"))))
+    asked = names.filter(short("name")).withColumn("key", F.explode(_less_one(F.col("name"))))
+    near = near.join(asked, ["scope", "key"]).select("scope", "name", "label").distinct()
+    long_names, long_labels = names.filter(~short("name")), labels.filter(~short("label"))
+    few = labels.filter(short("label")).join(long_names.select("scope").distinct(), "scope", "left_semi")
+    pairs = near.unionByName(_token_pairs(names, long_labels, cutoff, q))
+    return pairs.unionByName(_token_pairs(long_names, few, cutoff, q))
+
+
+def _token_pairs(names: DataFrame, labels: DataFrame, cutoff: float, q: int) -> DataFrame:
+    """(scope, name, label) that share enough tokens.
 
     Lossless prefix filter: texts that reach the cutoff share one of their rarest tokens. Pairs meet on those only, are
-    kept only at the first token they share, and go to the ratio only if enough of all tokens agree.
+    kept only at the first token they share, and only if enough of all tokens agree.
     """
-    texts = _with_tokens(labels.select("scope", "label").distinct(), "label", q)
-    names = _with_tokens(asks.select("scope", "name").distinct(), "name", q)
+    texts, names = _with_tokens(labels, "label", q), _with_tokens(names, "name", q)
     frequency = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def side(texts: DataFrame, text: str, s: str) -> DataFrame:
@@ -205,13 +235,22 @@ def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, q
     enough = F.greatest(F.size("ta") - F.col("la"), F.size("tb") - F.col("lb"))
     if q == 1:
         enough = F.greatest(enough, F.ceil((longer + shorter) * F.lit(cutoff / 2) - 1e-9))
-    pairs = (
+    return (
         side(texts, "label", "a")
         .join(side(names, "name", "b"), ["scope", "token"])
         .filter(shorter * 2 >= (longer + shorter) * cutoff - 1e-9)
         .filter(F.array_intersect("pb", "pa")[0] == F.col("token"))
         .filter(common >= enough)
+        .select("scope", "name", "label")
     )
+
+
+def similar_labels(asks: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, q: int = 1) -> DataFrame:
+    """Best label for each (scope, name): the highest difflib ratio at or above `cutoff`, then the last in text order.
+
+    Only pairs that may reach the cutoff go to the ratio, see `similar_pairs`.
+    """
+    pairs = similar_pairs(asks.select("scope", "name").distinct(), labels.select("scope", "label").distinct(), cutoff, q)
     scored = pairs.select("scope", "name", "label", matching_ratio(F.col("label"), F.col("name")).alias("score"))
     return (
         scored.filter(F.col("score") >= cutoff)

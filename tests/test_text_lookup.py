@@ -142,3 +142,13 @@ def test_no_name_no_player(spark, rows):
     raw = spark.createDataFrame([("1", "ann", "", "")], "id string, name string, team string, alt_names string")
     df = spark.createDataFrame([("教えて",), ("ann選手",)], "question string")
     assert rows(LK.resolve_player(df, T.shape_roster(raw))) == [("ann選手", "1", 1), ("教えて", None, None)]
+
+
+def test_short_names_with_one_letter_less_meet_few_labels(spark):
+    """Numbered names share most of their pieces with each other, but pairs stay those of one letter."""
+    labels = spark.range(3000).selectExpr("'*' AS scope", "concat('Customer#', lpad(id, 9, '0')) AS label")
+    names = spark.createDataFrame([("*", "Customer#00001234"), ("*", "ustomer#000002999"), ("*", "none")], "scope string, name string")
+    pairs = LK.similar_pairs(names, labels, 0.95, 3).collect()
+    assert 0 < len(pairs) < 60
+    best = {r.name: r.label for r in LK.similar_labels(names, labels, 0.95, 3).collect()}
+    assert best == {"Customer#00001234": "Customer#000001234", "ustomer#000002999": "Customer#000002999"}
