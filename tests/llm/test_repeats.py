@@ -84,3 +84,24 @@ def test_rolling_and_minimum():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert rp.cut_repeats(df).count() == 0
+
+
+def test_join_on_a_name_in_very_many_texts_is_split(spark):
+    rows = [(7, b"hot %d" % i, i) for i in range(8000)] + [(i + 100, b"%d" % i, i) for i in range(2000)] + [(9, b"copy", 5)] * 2
+    found = spark.createDataFrame(rows, "h bigint, digest binary, pos bigint").repartition(8)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = rp.repeated_anchors(found)
+        assert sorted(r.pos for r in out.collect()) == list(range(8000))
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
