@@ -86,22 +86,41 @@ def test_empty(spark):
     assert rp.cut_repeats(df).count() == 0
 
 
-def test_join_on_a_name_in_very_many_texts_is_split(spark):
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture
+def small_joins_split(spark):
+    before = {k: spark.conf.get(k, None) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def split_joins(df):
+    """Joins on a hot key that the finished plan deals out to several tasks."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "skew=true" in x]
+
+
+def test_join_on_a_name_in_very_many_texts_is_split(spark, small_joins_split):
     rows = [(7, b"hot %d" % i, i) for i in range(8000)] + [(i + 100, b"%d" % i, i) for i in range(2000)] + [(9, b"copy", 5)] * 2
-    found = spark.createDataFrame(rows, "h bigint, digest binary, pos bigint").repartition(8)
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        out = rp.repeated_anchors(found)
-        assert sorted(r.pos for r in out.collect()) == list(range(8000))
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = rp.repeated_anchors(spark.createDataFrame(rows, "h bigint, digest binary, pos bigint").repartition(8))
+    assert sorted(r.pos for r in out.collect()) == list(range(8000))
+    assert split_joins(out)
+
+
+def test_join_on_a_window_in_very_many_texts_is_split(spark, small_joins_split):
+    passage = "".join(random.Random(3).choice("abcdefgh") for _ in range(40))
+    docs = spark.createDataFrame([(i, f"{i:09d}{passage}{i:09d}") for i in range(4000)], "id bigint, text string").repartition(8)
+    rows = docs.selectExpr("id", "text", "unhex(sha2(text, 256)) AS digest")
+    digests = rows.selectExpr("digest", "id AS first")
+    _, spans = rp.repeated_intervals(rows, digests, 40, 8, False, 16)
+    assert sum((r.start, r.stop) == (9, 49) for r in spans.collect()) == 4000
+    assert any("w1" in x and "Inner" in x for x in split_joins(spans))
