@@ -123,13 +123,16 @@ def evaluate_splits(rows: DataFrame, key: str, size: int = BATCH) -> DataFrame:
     return delta.join(nce, "split").withColumn("loss", total)
 
 
-def fit_delta_head(df: DataFrame) -> np.ndarray:
-    """Least squares of `deltas` on `vec` (with an intercept) over the valid rows: a (width+1) x 18 matrix.
+def fit_delta_head(df: DataFrame) -> np.ndarray | None:
+    """Least squares of `deltas` on `vec` (with an intercept) over the valid rows: a (width+1) x 18 matrix, None without
+    a valid row.
 
     One pass: tasks sum X'X and X'Y over their rows, the sums of MERGED tasks are added up by one task, those of
     MERGED such tasks by the next, and what is left of them last. The driver solves the small system.
     """
-    width = df.agg(F.max(F.size("vec")).alias("d")).first()["d"]
+    width = df.filter("valid").agg(F.max(F.size("vec")).alias("d")).first()["d"]
+    if width is None:
+        return None
     if not width or width > MAX_HEAD_WIDTH:
         raise ValueError(f"vectors must have 1..{MAX_HEAD_WIDTH} numbers, not {width}")
     n, m = width + 1, 2 * (LAST_FRAMES - 1)
@@ -154,8 +157,10 @@ def fit_delta_head(df: DataFrame) -> np.ndarray:
     return np.linalg.lstsq(total[:, :n], total[:, n:], rcond=None)[0]
 
 
-def predict_deltas(df: DataFrame, head: np.ndarray) -> DataFrame:
-    """Add `pred`, the steps the head expects."""
+def predict_deltas(df: DataFrame, head: np.ndarray | None) -> DataFrame:
+    """Add `pred`, the steps the head expects; NULL without a head."""
+    if head is None:
+        return df.withColumn("pred", F.lit(None).cast("array<double>"))
 
     @F.pandas_udf("array<double>")
     def apply(vec):

@@ -137,6 +137,16 @@ def test_head_recovers_a_linear_map(spark):
     assert TR.masked_mse(TR.predict_deltas(df, head), "pred", "deltas").first()[0] < 1e-18
 
 
+def test_no_head_without_a_valid_row(spark):
+    """Nothing was fitted, so the error is unknown: it is not that of a perfect fit."""
+    rows = [([1.0, float(i)], [1.0] * 18, False) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec array<double>, deltas array<double>, valid boolean")
+    for part in (df, df.limit(0)):
+        head = TR.fit_delta_head(part)
+        assert head is None
+        assert TR.masked_mse(TR.predict_deltas(part, head), "pred", "deltas").collect() == [(None,)]
+
+
 def test_split_sizes(spark, rows):
     df = spark.range(10).withColumnRenamed("id", "k")
     split = SP.train_val_test_split(df, ["k"])
