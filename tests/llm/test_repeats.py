@@ -58,6 +58,22 @@ def test_against_brute_force(spark, seed, length, gram, group_rows, keep):
     assert sorted(got, key=str) == brute(docs, length, keep)
 
 
+def test_planted_passages_of_over_50_words(spark, tmp_path):
+    """The limit is 400 bytes, whatever the words: 60 words of 399 bytes stay, 400 bytes go, the size tells neither."""
+    rnd = random.Random(5)
+    make = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    short = " ".join(make(5) for _ in range(59)) + " " + make(45)
+    longer, clean = " ".join(make(5) for _ in range(66)) + " abcd", make(900)
+    assert (len(short), len(short.split()), len(longer), len(longer.split())) == (399, 60, 400, 67)
+    docs = [(1, f"{make(90)}1{short}2{make(90)}"), (2, f"{make(40)}3{short}4{make(9)}"), (3, f"{make(90)}5{longer}6{make(90)}")]
+    docs += [(4, f"{make(7)}7{longer}8"), (5, clean), (6, make(300)), (7, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rp.op8_repeats(spark, str(tmp_path)).collect()]
+    want = [r[:5] for r in brute(docs, 400, "none")]
+    assert sorted(got) == sorted(want)
+    assert {r[0]: r[2] for r in got} == {1: 0, 2: 0, 3: 400, 4: 400, 5: 0, 6: 0, 7: 0}
+
+
 def test_long_text_in_slices(monkeypatch):
     monkeypatch.setattr(rp, "PORTION", 1000)
     text = "".join(random.Random(1).choice("ab") for _ in range(5000)).encode()
